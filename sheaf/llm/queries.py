@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheaf.llm.bpe import bpe_round_trip
 from sheaf.llm.near_dups import near_dups
+from sheaf.llm.token_counts import corpus_token_counts
+from sheaf.llm.token_output import token_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +23,29 @@ def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat token files of ``documents``, scanned for their end ids: where each document lies and how many tokens it has."""
+    return corpus_token_counts(spark, table(spark, sf_dir, "documents"), vocabulary(), end=50256)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of ``documents`` and back."""
+    return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of ``documents`` written and read back."""
+    return token_round_trip(spark, table(spark, sf_dir, "documents"), vocabulary(), end=2)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_near_dups": op1_near_dups}
+    return {"op1_near_dups": op1_near_dups, "op6_token_counts": op6_token_counts, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
