@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm.bpe import bpe_round_trip
+from sheaf.llm.decontaminate import contamination
 from sheaf.llm.near_dups import near_dups
+from sheaf.llm.sharding import shard_by_slots
 from sheaf.llm.token_counts import corpus_token_counts
 from sheaf.llm.token_output import token_round_trip
 
@@ -23,6 +25,16 @@ def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten ``benchmark`` words in ``documents``."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 24 shards of near equal bytes."""
+    return shard_by_slots(table(spark, sf_dir, "documents"), shards=24)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -45,7 +57,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_near_dups": op1_near_dups, "op6_token_counts": op6_token_counts, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output}
+    return {"op1_near_dups": op1_near_dups, "op2_decontamination": op2_decontamination, "op5_sharding": op5_sharding, "op6_token_counts": op6_token_counts, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
