@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm.bpe import bpe_round_trip
 from sheaf.llm.decontaminate import contamination
+from sheaf.llm.licenses import license_scan
 from sheaf.llm.near_dups import near_dups
+from sheaf.llm.quality import quality
 from sheaf.llm.sharding import shard_by_slots
 from sheaf.llm.token_counts import corpus_token_counts
 from sheaf.llm.token_output import token_round_trip
@@ -30,6 +32,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in ``documents``."""
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in 24 shards of near equal bytes."""
     return shard_by_slots(table(spark, sf_dir, "documents"), shards=24)
@@ -46,6 +53,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_token_counts(spark, table(spark, sf_dir, "documents"), vocabulary(), end=50256)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on ``documents``."""
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of ``documents`` and back."""
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
@@ -57,7 +69,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_near_dups": op1_near_dups, "op2_decontamination": op2_decontamination, "op5_sharding": op5_sharding, "op6_token_counts": op6_token_counts, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output}
+    return {"op1_near_dups": op1_near_dups, "op2_decontamination": op2_decontamination, "op4_licenses": op4_licenses, "op5_sharding": op5_sharding, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
