@@ -30,7 +30,7 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
 }
 #: Limits: least words for a verdict of divergence, largest distance of character classes and of common words, and base rules.
-LEAST_WORDS, CLASS_LIMIT, WORD_LIMIT = 50, 0.5, 0.85
+LEAST_WORDS, CLASS_LIMIT, WORD_LIMIT = 50, 0.3, 0.7
 SHORT, REPEATED_PERCENT, RUN = 20, 30, 8
 
 #: Classes of a byte: lower, upper, digit, white space, sentence marks, quotes and brackets, symbols, control, start of a wider character, its rest (not counted).
