@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm.bpe import bpe_round_trip
 from sheaf.llm.decontaminate import contamination
+from sheaf.llm.katz import katz_scores
 from sheaf.llm.licenses import license_scan
 from sheaf.llm.near_dups import near_dups
 from sheaf.llm.quality import quality
@@ -32,6 +33,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of ``documents``."""
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in ``documents``."""
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
@@ -69,7 +75,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_near_dups": op1_near_dups, "op2_decontamination": op2_decontamination, "op4_licenses": op4_licenses, "op5_sharding": op5_sharding, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output}
+    return {"op1_near_dups": op1_near_dups, "op2_decontamination": op2_decontamination, "op3_katz": op3_katz, "op4_licenses": op4_licenses, "op5_sharding": op5_sharding, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
