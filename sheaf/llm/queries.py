@@ -13,6 +13,7 @@ from sheaf.llm.licenses import license_scan
 from sheaf.llm.near_dups import near_dups
 from sheaf.llm.quality import quality
 from sheaf.llm.sharding import shard_by_slots
+from sheaf.llm.substring_dedup import substring_dedup
 from sheaf.llm.token_counts import corpus_token_counts
 from sheaf.llm.token_output import token_round_trip
 
@@ -74,8 +75,13 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, table(spark, sf_dir, "documents"), vocabulary(), end=2)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that earlier ``documents`` have."""
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_near_dups": op1_near_dups, "op2_decontamination": op2_decontamination, "op3_katz": op3_katz, "op4_licenses": op4_licenses, "op5_sharding": op5_sharding, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output}
+    return {"op1_near_dups": op1_near_dups, "op2_decontamination": op2_decontamination, "op3_katz": op3_katz, "op4_licenses": op4_licenses, "op5_sharding": op5_sharding, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_token_output": op9_token_output, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
