@@ -23,28 +23,33 @@ BROADCAST_FINGERPRINTS = 200_000
 
 
 def _places(words: Column, k: int, window: int, short: list[int]) -> Column:
-    """The kept places of bound ``words``: structs of hash, length of the window, place (from 0), words around it and how many of them come before."""
+    """The kept places of bound ``words``: structs of hash, length of the window, place (from 0), words around it and how many of them come before.
+
+    Elements are taken one by one: ``slice`` would copy the whole list each time.
+    """
     span = window - k
     n = F.size(words)
-    grams = F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, k))))
+    some = lambda start, m: [F.get(words, start + j) for j in range(m)]
+    grams = F.transform(words, lambda w, i: F.xxhash64(w, *some(i + 1, k - 1)))
 
     def kept(g: Column) -> Column:
-        least = F.transform(F.sequence(F.lit(1), n - window + 1), lambda s: F.array_min(F.slice(g, s, span + 1)))
+        least = F.transform(F.sequence(F.lit(0), n - window), lambda s: F.least(*(F.get(g, s + j) for j in range(span + 1))))
         # A place is kept if it has the least hash of a window that holds it.
-        return let(least, lambda m: F.transform(F.filter(F.sequence(F.lit(0), n - k), lambda p: F.get(g, p) == F.array_max(F.slice(m, F.greatest(p - span + 1, F.lit(1)), F.least(p, F.lit(span)) + 1))), lambda p: around(g, p)))
+        return let(least, lambda m: F.transform(F.filter(F.sequence(F.lit(0), n - k), lambda p: F.get(g, p) == F.greatest(*(F.get(m, p - j) for j in range(span + 1)))), lambda p: around(g, p)))
 
     def around(g: Column, p: Column) -> Column:
-        before = F.least(p, F.lit(span))
-        return F.struct(F.get(g, p).alias("hash"), F.lit(window).alias("length"), p.alias("place"), F.slice(words, p - before + 1, before + window).alias("around"), before.alias("before"))
+        return F.struct(F.get(g, p).alias("hash"), F.lit(window).alias("length"), p.alias("place"), F.array(*some(p - span, span + window)).alias("around"), F.lit(span).alias("before"))
+
+    def whole(m: int):
+        return lambda p: F.struct(F.xxhash64(F.lit(m), *some(p, m)).alias("hash"), F.lit(m).alias("length"), p.alias("place"), F.array(*some(p, m)).alias("around"), F.lit(0).alias("before"))
 
     out = F.when(n >= window, let(grams, kept)).otherwise(F.array())
     for m in short:
-        whole = lambda p, m=m: F.struct(F.xxhash64(F.lit(m), F.slice(words, p + 1, m)).alias("hash"), F.lit(m).alias("length"), p.alias("place"), F.slice(words, p + 1, m).alias("around"), F.lit(0).alias("before"))
-        out = F.concat(out, F.when(n >= m, F.transform(F.sequence(F.lit(0), n - m), whole)).otherwise(F.array()))
+        out = F.concat(out, F.when(n >= m, F.transform(F.sequence(F.lit(0), n - m), whole(m))).otherwise(F.array()))
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged [from, to) of hit words).
 
     A window is ``window`` consecutive item words; a shorter item that has words
@@ -55,7 +60,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     items = benchmark.select(F.col(item_col).alias("item"), letter_words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     # At most window - 1 numbers.
     short = sorted(r[0] for r in items.where(F.size("words") < window).select(F.size("words")).distinct().collect())
-    known = items.select("item", let(F.col("words"), lambda w: F.struct(F.size(w).alias("whole"), _places(w, k, window, short).alias("places"))).alias("of")).select("item", "of.whole", F.explode("of.places").alias("t"))
+    known = items.select("item", let(F.col("words"), lambda w: F.struct(F.size(w).alias("whole"), _places(w, k, window, short).alias("places"))).alias("of")).select("item", "of.whole", "of.places").select("item", "whole", F.explode("places").alias("t"))
     known = known.where((F.col("t.length") == window) | (F.col("t.length") == F.col("whole")))
     known = known.select("item", *(F.col(f"t.{c}").alias(f"t_{c}") for c in ("hash", "length", "around", "before"))).distinct()
     # A place of its own in each document, which meets a row of its own, keeps the documents without hits.
@@ -63,14 +68,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
     own = F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.lit(0).alias("length"), F.lit(-1).alias("place"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("before")))
     found = let(letter_words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(own, _places(w, k, window, short)).alias("places")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), found.alias("of")).select("row", "id", "of.n_words", F.explode("of.places").alias("d"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), found.alias("of"))
+    # The list is a column of its own, else each of its rows would carry all of it.
+    rows = rows.select("row", "id", "of.n_words", "of.places").select("row", "id", "n_words", F.explode("places").alias("d"))
     rows = rows.select("row", "id", "n_words", *(F.col(f"d.{c}").alias(f"d_{c}") for c in ("hash", "length", "place", "around", "before")))
     met = rows.join(small(known, BROADCAST_FINGERPRINTS), (F.col("d_hash") == F.col("t_hash")) & (F.col("d_length") == F.col("t_length")))
     # Steps back from the place at which all words of a window agree.
-    backs = F.filter(
-        F.sequence(F.lit(0), F.least("d_before", "t_before")),
-        lambda j: (F.size(F.slice("d_around", F.col("d_before") - j + 1, F.col("d_length"))) == F.col("d_length")) & (F.slice("d_around", F.col("d_before") - j + 1, F.col("d_length")) == F.slice("t_around", F.col("t_before") - j + 1, F.col("d_length"))),
-    )
+    same = F.zip_with("d_around", "t_around", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    backs = let(same, lambda e: F.filter(F.sequence(F.lit(0), F.col("d_before")), lambda j: F.forall(F.sequence(F.lit(0), F.col("d_length") - 1), lambda i: F.get(e, F.col("d_before") - j + i))))
     starts = F.when(F.col("d_length") > 0, F.transform(backs, lambda j: F.col("d_place") - j))
     met = met.select("row", "id", "n_words", "item", F.col("d_length").alias("length"), F.explode_outer(starts).alias("start"))
     hit = F.col("start").isNotNull()
