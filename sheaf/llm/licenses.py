@@ -73,7 +73,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = F.array(F.struct(F.lit(-1).alias("place"), F.lit("").alias("gram"), F.lit(0).cast("long").alias("hash")))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.size(w) >= K, F.concat(own, each)).otherwise(own).alias("grams"))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), let(letter_words(F.col(text_col)), grams).alias("of")).select("row", "id", "of.n_words", F.explode("of.grams").alias("g")).select("row", "id", "n_words", "g.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), let(letter_words(F.col(text_col)), grams).alias("of"))
+    # The list is a column of its own, else each of its rows would carry all of it.
+    rows = rows.select("row", "id", "of.n_words", "of.grams").select("row", "id", "n_words", F.explode("grams").alias("g")).select("row", "id", "n_words", "g.*")
     # The templates are a parameter, some hundred rows.
     met = rows.join(F.broadcast(known), (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram"))).drop("hash", "t_hash", "gram", "t_gram")
     met = met.withColumn("diagonal", F.col("place") - F.col("t_place"))
