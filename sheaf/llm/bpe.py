@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.words import _BYTE, _GOLDEN, _U, _powers, mix, pieces, raw
 
 #: Fragments that a worker remembers before it starts afresh.
-POOL = 400_000
+POOL = 1_000_000
 #: Bytes of fragments for one call of the library.
 CALL_BYTES = 1 << 16
 _WHITE = np.zeros(256, bool)
@@ -113,39 +113,47 @@ class Encoder:
                     p = text.find(word, p + len(word))
         return np.flatnonzero(cut), np.array(sorted(added), np.int64)
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes], fixed: list[int | None]) -> None:
-        """Encodes new fragments; those that start with white space and end visibly go to the library many at a time."""
-        ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        alone, group, bytes_ = [], [], 0
-
-        def flush() -> None:
-            nonlocal group, bytes_
-            if group:
-                got = np.array(self.library.encode(b"".join(texts[i] for i in group).decode(), add_special_tokens=False).ids, np.uint32)
-                ends = np.searchsorted(np.cumsum(self.length[got]), np.cumsum([len(texts[i]) for i in group])) + 1
-                for i, part in zip(group, np.split(got, ends[:-1]), strict=True):
-                    ids[i] = part
-            group, bytes_ = [], 0
-
-        for i, t in enumerate(texts):
-            if fixed[i] is not None:
-                ids[i] = np.array([fixed[i]], np.uint32)
-            elif _WHITE[t[0]] and t[-1] < 0x80 and _VISIBLE[t[-1]] and self.closed[t[-1]] and not any(w in t for w in self.added):
-                group.append(i)
-                bytes_ += len(t)
-                if bytes_ > CALL_BYTES:
-                    flush()
-            else:
-                alone.append(i)
-        flush()
-        for i in alone:
-            ids[i] = np.array(self.library.encode(texts[i].decode(), add_special_tokens=False).ids, np.uint32)
-        size = np.array([len(x) for x in ids])
-        at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, *ids])
-        known = np.concatenate((self.known, keys))
-        order = np.argsort(known)
-        self.known, self.at, self.size = known[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+    def _learn(self, keys: np.ndarray, data: np.ndarray, a: np.ndarray, n: np.ndarray, fixed: np.ndarray) -> None:
+        """Encodes new fragments: those that end visibly many in one text, the few others one by one; ``fixed``: the id of an added token, else -1.
+
+        A fragment that begins visibly is put behind a line break, which is a
+        token of its own there and is then left out.
+        """
+        last, one, two = data[a + n - 1], data[np.maximum(a + n - 2, 0)], data[np.maximum(a + n - 3, 0)]
+        wide = (last >= 0x80) & ((one == 0xC2) | ((two >= 0xE1) & (two <= 0xE3)))
+        head = data[a]
+        plain = _WHITE[head] | (_VISIBLE[head] & (head != 0xC2) & ((head < 0xE1) | (head > 0xE3)))
+        many = np.flatnonzero(self.closed[last] & ~wide & plain & (fixed < 0))
+        lead = (~_WHITE[data[a[many]]]).astype(np.int64)
+        size = n[many] + lead
+        ends = np.cumsum(size)
+        at = np.empty(len(a), np.int64)
+        count = np.empty(len(a), np.int64)
+        parts = [self.pool]
+        base = len(self.pool)
+        if len(many):
+            text = np.full(int(ends[-1]), 0x0A, np.uint8)
+            fill = np.repeat(ends - n[many], n[many]) + (within := np.arange(int(n[many].sum())) - np.repeat(np.cumsum(n[many]) - n[many], n[many]))
+            text[fill] = data[np.repeat(a[many], n[many]) + within]
+            stops = ends[np.append(np.searchsorted(ends, np.arange(CALL_BYTES, int(ends[-1]), CALL_BYTES)), len(ends) - 1)]
+            calls = [text[x:y].tobytes().decode() for x, y in zip(np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True) if y > x]
+            got = np.concatenate([np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(calls, add_special_tokens=False)])
+            upto = np.searchsorted(np.cumsum(self.length[got]), ends) + 1
+            begin = np.append(0, upto[:-1]) + lead
+            at[many], count[many] = base + begin, upto - begin
+            parts.append(got)
+            base += len(got)
+        few = np.ones(len(a), bool)
+        few[many] = False
+        few = np.flatnonzero(few)
+        for i in few.tolist():
+            ids = [int(fixed[i])] if fixed[i] >= 0 else self.library.encode(data[a[i] : a[i] + n[i]].tobytes().decode(), add_special_tokens=False).ids
+            parts.append(np.array(ids, np.uint32))
+            at[i], count[i] = base, len(ids)
+            base += len(ids)
+        self.pool = np.concatenate(parts)
+        spot = np.searchsorted(self.known, keys)
+        self.known, self.at, self.size = np.insert(self.known, spot, keys), np.insert(self.at, spot, at), np.insert(self.size, spot, count)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n + 1 offsets into them."""
@@ -153,7 +161,7 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         start, added = self._split(data, offsets)
         length = np.diff(np.append(start, len(data)))
-        place = np.arange(len(data)) - np.repeat(start, length)
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), length)
         value = _BYTE[data]
         value *= _powers(int(length.max()))[place]
         key = mix(np.add.reduceat(value, start) + length.astype(np.uint64) * _U(_GOLDEN))
@@ -166,11 +174,11 @@ class Encoder:
         spot = np.searchsorted(self.known, found)
         new = np.flatnonzero(self.known[np.minimum(spot, len(self.known) - 1)] != found) if len(self.known) else np.arange(len(found))
         if len(new):
-            special = set(added.tolist())
-            body = data.tobytes()
-            a = start[first[new]].tolist()
-            texts = [body[x : x + n] for x, n in zip(a, length[first[new]].tolist(), strict=True)]
-            self._learn(found[new], texts, [self.added[t] if x in special else None for x, t in zip(a, texts, strict=True)])
+            fixed = np.full(len(start), -1)
+            for x in added.tolist():
+                fixed[np.searchsorted(start, x)] = next(i for t, i in self.added.items() if data[x : x + len(t)].tobytes() == t)
+            own = first[new]
+            self._learn(found[new], data, start[own], length[own], fixed[own])
             spot = np.searchsorted(self.known, found)
         size = self.size[spot][which]
         ends = np.cumsum(size)
