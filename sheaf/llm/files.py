@@ -21,3 +21,16 @@ def new_file(folder: str, suffix: str) -> Iterator[tuple[str, object]]:
     store.create_dir(path.rpartition("/")[0], recursive=True)
     with store.open_output_stream(path) as out:
         yield uri, out
+
+
+def put_file(folder: str, name: str, write) -> None:
+    """Writes ``folder/name`` so that it is there whole or not at all; a task that runs again puts the same file in its place.
+
+    Spark's readers pass over the folder in which it grows.
+    """
+    store, path = located(folder)
+    store.create_dir(f"{path}/_growing", recursive=True)
+    growing = f"{path}/_growing/{uuid4().hex}"
+    with store.open_output_stream(growing) as out:
+        write(out)
+    store.move(growing, f"{path}/{name}")

@@ -23,27 +23,31 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.automaton import Automaton
 from sheaf.llm.katz import _answers, _spread, _squeezed, _stored
-from sheaf.llm.tables import small, written
+from sheaf.llm.files import located, put_file
+from sheaf.llm.tables import shared_path, small, written
 from sheaf.llm.words import Words, doc_grams, of_column, pieces
 
 CHUNK_WINDOWS = 2 << 20
 #: Words of a reference shard, and of the queries that one automaton answers.
-SHARD_WORDS, QUERY_WORDS = 100_000, 1_000_000
+SHARD_WORDS, QUERY_WORDS = 100_000, 500_000
 NOBODY = np.iinfo(np.int64).min
 _U = np.uint64
 
-_ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((x, pa.binary()) for x in "abcd"), ("keys", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
-_ASK_SQL = "bucket long, chunk long, a binary, b binary, c binary, d binary, keys array<long>, ids array<long>, windows array<long>"
+_ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((x, pa.binary()) for x in "abc")])
+_ASK_SQL = "bucket long, chunk long, a binary, b binary, c binary"
+_INDEX = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("bucket", "new", "again")), *((x, pa.list_(pa.int64())) for x in ("keys", "ids", "windows"))])
+_INDEX_SQL = "chunk long, bucket binary, new binary, again binary, keys array<long>, ids array<long>, windows array<long>"
 
 
-def _ask(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each chunk a row for each bucket, and one (bucket -1) that tells how its documents' windows are found in the answers."""
+def _ask(batches: Iterator[pa.RecordBatch], window: int, buckets: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """For each chunk a row for each bucket; in ``folder`` a file that tells how its documents' windows are found in the answers."""
     part, number = TaskContext.get().partitionId(), 0
     keys: list = []
     ids: list = []
@@ -70,7 +74,8 @@ def _ask(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterat
         number_of = back[which]
         new = np.zeros(len(h), bool)
         new[first] = True
-        yield pa.RecordBatch.from_pylist([{"bucket": -1, "chunk": chunk, "a": _squeezed(bucket.astype(np.uint16)), "b": _squeezed(np.packbits(new)), "c": _squeezed(number_of[~new]), "keys": keys, "ids": ids, "windows": n.tolist()}], schema=_ASK)
+        index = {"chunk": chunk, "bucket": _squeezed(bucket.astype(np.uint16)), "new": _squeezed(np.packbits(new)), "again": _squeezed(number_of[~new]), "keys": keys, "ids": ids, "windows": n.tolist()}
+        put_file(folder, f"{chunk}.parquet", lambda out: pq.write_table(pa.Table.from_pylist([index], schema=_INDEX), out, compression="zstd"))
         own = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[own], np.arange(buckets + 1))
         for b in range(buckets):
@@ -115,14 +120,14 @@ def _runs_of(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     """Of each document with repeated windows: runs of windows of one owner, as (first window, windows, owner)."""
     for batch in batches:
         for r in batch.to_pylist():
-            bucket, windows = _spread(r["a"], np.uint16), np.array(r["windows"])
+            bucket, windows = _spread(r["bucket"], np.uint16), np.array(r["windows"])
             owner = np.empty(len(bucket), np.int64)
             order = np.argsort(bucket, kind="stable")
             owner[order] = np.concatenate([_spread(x["a"], np.int64) for x in _answers(path, r["chunk"])])
-            new = np.unpackbits(_spread(r["b"], np.uint8))[: int(windows.sum())] == 1
+            new = np.unpackbits(_spread(r["new"], np.uint8))[: int(windows.sum())] == 1
             number = np.empty(len(new), np.int64)
             number[new] = np.arange(len(bucket))
-            number[~new] = _spread(r["c"], np.int64)
+            number[~new] = _spread(r["again"], np.int64)
             owner = owner[number]
             first = np.cumsum(windows) - windows
             doc = np.repeat(np.arange(len(windows)), windows)
@@ -211,10 +216,15 @@ def repeated_spans(source: DataFrame, window: int = 50) -> DataFrame:
     """(key, spans): the word spans to remove of each row of ``source`` (key, id, text) that has any; confirmed by automata."""
     spark = source.sparkSession
     buckets = 4 * source.rdd.getNumPartitions()
-    asked = written(source.mapInArrow(partial(_ask, window=window, buckets=max(8, buckets)), _ASK_SQL), "windows")
-    answers = _stored(asked.where("bucket >= 0").select("bucket", "chunk", "a", "b", "c").groupBy("bucket").applyInArrow(_answer, "bucket long, chunk long, a binary"), spark, "owners")
-    runs = written(asked.where("bucket = -1").mapInArrow(partial(_runs_of, path=answers), "key long, id long, runs array<struct<start: long, windows: long, owner: long>>"), "runs")
-    found = source.drop("id").join(small(runs.dropDuplicates(["key"])), "key")
+    folder = shared_path(spark, "index")
+    store, at = located(folder)
+    store.create_dir(at, recursive=True)
+    asked = source.mapInArrow(partial(_ask, window=window, buckets=max(8, buckets), folder=folder), _ASK_SQL)
+    answers = _stored(asked.groupBy("bucket").applyInArrow(_answer, "bucket long, chunk long, a binary"), spark, "owners")
+    index = spark.read.schema(_INDEX_SQL).parquet(folder)
+    runs = written(index.mapInArrow(partial(_runs_of, path=answers), "key long, id long, runs array<struct<start: long, windows: long, owner: long>>"), "runs")
+    # Ids first, which may be broadcast; the runs meet only the documents that have any.
+    found = source.drop("id").join(small(runs.select("key").distinct()), "key", "left_semi").join(runs.dropDuplicates(["key"]), "key")
     passages = written(found.mapInArrow(partial(_passages, window=window), "key long, id long, start long, owner long, words long, passage string"), "passages")
 
     refs = passages.where("id = owner").select("owner", "words", "passage").dropDuplicates(["owner", "passage"])
