@@ -44,13 +44,16 @@ def parse(documents: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("org", "org_archive"), hidden: tuple[str, ...] = ()) -> DataFrame:
-    """(source_file, text) of a folder and its subfolders; hidden and generated folders are left out unless named."""
-    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(suffixes) + "}").select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
-    root = F.lit(path.rstrip("/").removeprefix("file://"))
-    inner = F.regexp_replace(F.regexp_replace("source_file", "^file:/+", "/"), F.concat(F.lit("^\\Q"), root, F.lit("\\E")), F.lit(""))
-    folders = F.slice(F.split(inner, "/"), 1, F.greatest(F.size(F.split(inner, "/")) - 1, F.lit(0)))
-    bad = F.exists(folders, lambda f: (F.startswith(f, F.lit(".")) | f.isin(*SKIPPED_FOLDERS)) & ~f.isin(*hidden) if hidden else F.startswith(f, F.lit(".")) | f.isin(*SKIPPED_FOLDERS))
-    return docs.where(~bad)
+    """(source_file, text) of a folder and its subfolders, whole files.
+
+    Hidden folders, which Spark never lists, and generated ones are left out;
+    those named in ``hidden`` are read as roots of their own.
+    """
+    paths = [path.rstrip("/"), *(f"{path.rstrip('/')}/{h}" for h in hidden if h.startswith("."))]
+    docs = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(suffixes) + "}").select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
+    folders = F.split(F.regexp_replace(F.regexp_replace("source_file", "^file:/+", "/"), F.lit("^\\Q" + path.rstrip("/").removeprefix("file://") + "\\E"), F.lit("")), "/")
+    skipped = [f for f in SKIPPED_FOLDERS if f not in hidden]
+    return docs.where(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
 
 
 def prefilter(documents: DataFrame, terms: list[str]) -> DataFrame:
