@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import dates, text
-from sheaf.operators import agenda, tree, workspace
+from sheaf.operators import agenda, contracts, lint, records, tree, workspace
 from sheaf.plans import elements as eq
 from sheaf.plans import outline
 from sheaf.plans.match import compile_match
-from sheaf.sources import org
+from sheaf.sources import markdown, org, packets
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -426,6 +426,114 @@ def parsed_outline(spark, d):
     return rows.groupBy(F.col("source_file").cast("long").alias("customer")).agg(F.count("*").alias("headlines"), F.count_if(F.try_element_at("properties", F.lit("TODO")) == "DONE").alias("done"), F.min(F.substring(dates.timestamp_key(F.try_element_at("properties", F.lit("SCHEDULED"))), 1, 10).cast("date")).alias("first_day"), F.sum(effort).alias("effort_seconds"))
 
 
+# Customers written as Org documents, parsed, and read by the record sets.
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    """One Org document for each customer: a headline with id, clock and state change, links, macros, a footnote, two headlines below, a block and a table."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    minutes = (F.lit(10) + k % 50).cast("int")
+    text_ = F.concat(
+        F.lit("#+MACRO: seg "), "c_mktsegment", F.lit("\n* "), "c_name", F.lit(" :"), F.lower("c_mktsegment"), F.lit(":\n:PROPERTIES:\n:ID: k"), k % 50, F.when(n == 3, F.lit("\n:STYLE: habit")).otherwise(""), F.when(k % 9 == 0, F.lit("\n:EFFORT: soon")).otherwise(F.lit("\n:EFFORT: 1:00")),
+        F.lit("\n:END:\n:LOGBOOK:\n- State \"DONE\" from \"TODO\" [1995-01-01 Sun 11:00]\nCLOCK: [1995-01-01 Sun 10:00]--[1995-01-01 Sun "), F.format_string("%02d:%02d", F.floor(F.lit(10) + minutes / 60), minutes % 60), F.lit("] =>  0:"), F.format_string("%02d", minutes),
+        F.lit("\n:END:\n[[id:k"), (k + 7) % 60, F.lit("][next]] {{{seg}}} {{{none}}} [fn:1]\n** DONE Old"), k % 5, F.lit("\n** TODO Old"), n % 5, F.lit(" :noexport:\n#+NAME: b"), k % 3, F.lit("\n#+begin_src sql :tangle f"), n, F.lit(".sql\nselect "), k, F.lit("\n#+end_src\n| "), k, F.lit(" |\n#+TBLFM: $1="), n, F.lit("\n"),
+    )
+    return _table(spark, d, "customer").select(k.cast("string").alias("source_file"), text_.alias("text"))
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return org.parse(_customers(spark, d))
+
+
+@_register("""SELECT c_custkey AS customer, CASE WHEN n IS NULL THEN 'unresolved' WHEN n=1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM customer LEFT JOIN (SELECT c_custkey%50 AS k, count(*) AS n FROM customer GROUP BY 1) t ON t.k=(c_custkey+7)%60""")
+def parsed_links(spark, d):
+    e = _parsed(spark, d)
+    return workspace.resolve_links(records.links(e, abbreviations=False), records.targets(e).where("kind = 'id'")).select(F.col("source_file").cast("long").alias("customer"), "status")
+
+
+@_register("SELECT c_custkey AS customer, 10+c_custkey%50 AS minutes, (10+c_custkey%50)*60 AS seconds FROM customer")
+def parsed_clocks(spark, d):
+    return records.clocks(_parsed(spark, d)).select(F.col("source_file").cast("long").alias("customer"), (F.col("stop") - F.col("start")).alias("minutes"), "seconds")
+
+
+@_register("SELECT c_custkey AS customer, kind, stamp FROM customer, (VALUES ('state','1995-01-01 11:00'),('clock','1995-01-01 10:00')) t(kind, stamp)")
+def parsed_lifecycle(spark, d):
+    return records.lifecycle(_parsed(spark, d)).select(F.col("source_file").cast("long").alias("customer"), "kind", "stamp")
+
+
+@_register("SELECT c_custkey AS customer, (10+c_custkey%50)*60 AS clock_seconds, CASE WHEN c_custkey%9=0 THEN NULL ELSE 3600 END AS effort FROM customer WHERE c_nationkey=3")
+def parsed_habits(spark, d):
+    return records.habits(_parsed(spark, d)).select(F.col("source_file").cast("long").alias("customer"), "clock_seconds", F.col("effort_seconds").alias("effort"))
+
+
+@_register("SELECT state, superseded, count(*) AS n FROM (SELECT 'background' AS state, false AS superseded FROM customer UNION ALL SELECT 'current', false FROM customer UNION ALL SELECT 'closed', c_custkey%5 IN (SELECT c_nationkey%5 FROM customer) FROM customer) GROUP BY ALL")
+def parsed_memory(spark, d):
+    return records.memory_cards(_parsed(spark, d)).groupBy("state", "superseded").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT c_custkey AS customer, x.name, CASE WHEN x.name='seg' THEN 'expanded' ELSE 'missingDefinition' END AS status, CASE WHEN x.name='seg' THEN c_mktsegment END AS expansion FROM customer, (VALUES ('seg'),('none')) x(name)")
+def parsed_macros(spark, d):
+    return records.macros(_parsed(spark, d)).select(F.col("source_file").cast("long").alias("customer"), "name", "status", "expansion")
+
+
+@_register("SELECT c_custkey AS customer, '1' AS label, false AS resolved FROM customer")
+def parsed_footnotes(spark, d):
+    return records.footnotes(_parsed(spark, d)).select(F.col("source_file").cast("long").alias("customer"), "label", "resolved")
+
+
+@_register("SELECT display, count(*) AS n, bool_or(m>1) AS ambiguous FROM (SELECT c_name||'/Old'||(c_nationkey%5) AS display, CASE WHEN c_custkey%5=c_nationkey%5 THEN 1 ELSE 1 END AS m FROM customer) GROUP BY display")
+def parsed_refile(spark, d):
+    rows = records.refile_targets(records.sections(_parsed(spark, d)), [("tag", "noexport")])
+    return rows.groupBy("display").agg(F.count("*").alias("n"), F.bool_or("ambiguous").alias("ambiguous"))
+
+
+@_register("SELECT c_custkey AS customer, t.title FROM customer, LATERAL (SELECT c_name AS title UNION ALL SELECT 'Old'||(c_custkey%5)) t")
+def parsed_export(spark, d):
+    return records.export_kept(records.sections(_parsed(spark, d))).select(F.col("source_file").cast("long").alias("customer"), "title")
+
+
+@_register("SELECT c_custkey AS customer, '$1' AS lhs, c_nationkey::VARCHAR AS rhs FROM customer")
+def parsed_formulas(spark, d):
+    return records.table_formulas(_parsed(spark, d)).select(F.col("source_file").cast("long").alias("customer"), "lhs", "rhs")
+
+
+@_register("SELECT 'f'||c_nationkey||'.sql' AS target, c_custkey AS customer, 'select '||c_custkey AS content FROM customer")
+def parsed_tangle(spark, d):
+    return packets.tangle_plan(_parsed(spark, d)).select("target", F.col("source_file").cast("long").alias("customer"), "content")
+
+
+@_register("SELECT c_custkey AS customer, code FROM customer, (VALUES ('ORG004'),('ORG011')) t(code) WHERE code='ORG004' OR c_custkey%9=0")
+def parsed_lint(spark, d):
+    return lint.findings(_parsed(spark, d)).select(F.col("source_file").cast("long").alias("customer"), "code")
+
+
+@_register("SELECT c_custkey AS customer, t.assertion, t.n AS count, t.ok FROM customer, LATERAL (SELECT 'top' AS assertion, 1 AS n, true AS ok UNION ALL SELECT 'below', 2, true UNION ALL SELECT 'blocks', 1, false) t")
+def parsed_contract(spark, d):
+    top = contracts.Step("top", eq.Query(kind="headline", depth=1), expect=("==", 1))
+    below = contracts.Step("below", eq.Query(kind="headline"), within=("child-of", "top"), expect=(">=", 2))
+    blocks = contracts.Step("blocks", eq.from_sexpr("(src-block :language sql)"), within=("descendant-of", "below"), expect=(">", 1))
+    return contracts.evaluate(_parsed(spark, d), contracts.Contract("c", [top, below, blocks])).select(F.col("source_file").cast("long").alias("customer"), "assertion", "count", "ok")
+
+
+@_register("SELECT CASE WHEN p_size%2=0 THEN 'checklistItem' ELSE 'listItem' END AS kind, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 'list', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'heading', count(DISTINCT p_brand) FROM part")
+def markdown_elements(spark, d):
+    """Parts written as Markdown lists, one file for each brand, and parsed."""
+    item = F.concat(F.when(F.col("p_size") % 2 == 0, "- [x] ").otherwise("- "), "p_name", F.lit("\n"))
+    docs = _table(spark, d, "part").groupBy(F.col("p_brand").alias("source_file")).agg(F.array_join(F.collect_list(item), "").alias("list")).select("source_file", F.concat(F.lit("# Parts\n\n"), "list").alias("text"))
+    return markdown.parse(docs).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT p_partkey::VARCHAR AS path, CASE WHEN p_size>40 THEN 'orphan' ELSE 'missing' END AS status FROM part WHERE p_size>40 OR p_size<5")
+def attachment_gaps(spark, d):
+    part = _table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_size")
+    return records.attachment_gaps(part.where("p_size <= 40").select("path"), part.where("p_size >= 5").select("path"))
+
+
+@_register(ELEMENTS + "SELECT source_file, id FROM elements WHERE (kind='table') OR (category='element' AND lang='de')")
+def contract_union(spark, d):
+    return contracts.union_of(outline.elements(spark, d), [eq.Query(kind="table"), eq.Query(category="element", property_equals=[("lang", "de")])])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
