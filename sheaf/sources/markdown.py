@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sheaf.shipping import shipped
+
 SCHEMA = "path string, kind string, source_kind string, structural_selector string, line long, end_line long, fields array<struct<key: string, value: string>>, text string, content string"
 _FIELD = pa.struct([("key", pa.string()), ("value", pa.string())])
 _ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("source_kind", pa.string()), ("structural_selector", pa.string()), ("line", pa.int64()), ("end_line", pa.int64()), ("fields", pa.list_(_FIELD)), ("text", pa.string()), ("content", pa.string())])
@@ -94,4 +96,5 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parse(documents: DataFrame) -> DataFrame:
     """Element rows of (source_file, text)."""
+    shipped(documents.sparkSession)
     return documents.select("source_file", "text").mapInArrow(_parse, SCHEMA)

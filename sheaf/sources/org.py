@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.dates import hours_minutes
 from sheaf.functions.text import ascii_lower
+from sheaf.shipping import shipped
 
 SCHEMA = (
     "source_file string, id long, parent_id long, ancestor_ids array<long>, ordinal long, category string, kind string, affiliated_name string, outline_path array<string>, context string, "
@@ -40,6 +41,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parse(documents: DataFrame) -> DataFrame:
     """Elements of (source_file, text).  A narrow pass: no shuffle, one document at a time in a worker."""
+    shipped(documents.sparkSession)
     return documents.select("source_file", "text").mapInArrow(_parse, SCHEMA)
 
 
