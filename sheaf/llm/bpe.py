@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.words import _BYTE, _GOLDEN, _U, _powers, mix, pieces, raw
+from sheaf.llm.words import _BYTE, _GOLDEN, _U, _powers, lean, mix, pieces, raw
+from sheaf.shipping import shipped
 
 #: Fragments that a worker remembers before it starts afresh.
 POOL = 1_000_000
@@ -198,6 +199,7 @@ def encoder(path: str, special: bool = True) -> Encoder:
     return Encoder(path, special)
 
 
+@lean
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, texts: bool) -> Iterator[pa.RecordBatch]:
     code = encoder(path)
     for batch in batches:
@@ -225,5 +227,6 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     stays null; repeated rows stay.  Only the two named columns are read.
     """
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
+    shipped(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(partial(_round_trip, path=path, texts=texts), schema).withColumnRenamed("id", id_col)

@@ -36,7 +36,7 @@ from pyspark.sql import Window
 
 from sheaf.llm.components import connected
 from sheaf.llm.tables import small, written
-from sheaf.llm.words import Words, doc_grams, grams, mix, of_column, pieces, signed
+from sheaf.llm.words import Words, doc_grams, grams, group, lean, mix, of_column, pieces, signed
 
 BINS, ROWS = 128, 4
 CELL_BYTES = 8 << 20
@@ -100,6 +100,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+@lean
 def _nodes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):
@@ -122,6 +123,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(np.diff(cuts)), *keys, _binary(mix(sketch).astype(np.uint16)), lists], ["id", "n_shingles", "k1", "k2", "sketch", "bands"])
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):
@@ -134,6 +136,7 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), -1)
 
 
+@lean
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -152,6 +155,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(both) - n)
 
 
+@lean
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)]
@@ -231,7 +235,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     as_member = rest.select("*", place(F.col("blocks")).alias("block"), F.explode(every(F.col("probes"))).alias("part")).withColumn("probe", F.lit(False))
     as_probe = rest.where("probe").select("*", F.explode(every(F.col("blocks"))).alias("block"), place(F.col("probes")).alias("part"))
     cells = as_member.unionByName(as_probe).select("band", "block", "part", "id", "component", "probe").join(sketch, "id").join(sets, "id")
-    more = written(cells.groupBy("band", "block", "part").applyInArrow(lambda table: _cell(table, percent), "a long, b long"), "links")
+    more = written(cells.groupBy("band", "block", "part").applyInArrow(group(_cell, percent), "a long, b long"), "links")
     if not more.isEmpty():
         component = written(connected(first.union(more)), "components")
 

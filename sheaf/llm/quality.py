@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.words import LOWER, Words, doc_grams, pieces, raw
+from sheaf.llm.words import LOWER, Words, doc_grams, lean, pieces, raw
 
 #: Common words of languages.
 COMMON = {
@@ -97,6 +97,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((p.sum(axis=1) > 0) & (q.sum(axis=1) > 0), out, 0.0)
 
 
+@lean
 def _reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str | None, np.ndarray] = {}
     for batch in batches:
@@ -159,6 +160,7 @@ def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.
     return out
 
 
+@lean
 def _rules(batches: Iterator[pa.RecordBatch], limits: tuple[int, float, float]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):

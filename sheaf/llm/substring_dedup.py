@@ -32,9 +32,9 @@ from sheaf.llm.automaton import Automaton
 from sheaf.llm.katz import _answers, _spread, _squeezed, _stored
 from sheaf.llm.files import located, put_file
 from sheaf.llm.tables import shared_path, small, written
-from sheaf.llm.words import Words, doc_grams, of_column, pieces
+from sheaf.llm.words import Words, doc_grams, group, lean, of_column, pieces
 
-CHUNK_WINDOWS = 2 << 20
+CHUNK_WINDOWS = 1 << 20
 #: Words of a reference shard, and of the queries that one automaton answers.
 SHARD_WORDS, QUERY_WORDS = 100_000, 500_000
 NOBODY = np.iinfo(np.int64).min
@@ -46,6 +46,7 @@ _INDEX = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("bucket"
 _INDEX_SQL = "chunk long, bucket binary, new binary, again binary, keys array<long>, ids array<long>, windows array<long>"
 
 
+@lean
 def _ask(batches: Iterator[pa.RecordBatch], window: int, buckets: int, folder: str) -> Iterator[pa.RecordBatch]:
     """For each chunk a row for each bucket; in ``folder`` a file that tells how its documents' windows are found in the answers."""
     part, number = TaskContext.get().partitionId(), 0
@@ -116,6 +117,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary())]))
 
 
+@lean
 def _runs_of(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Of each document with repeated windows: runs of windows of one owner, as (first window, windows, owner)."""
     for batch in batches:
@@ -143,6 +145,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(keys[docs]), pa.array(ids[docs]), lists], ["key", "id", "runs"])
 
 
+@lean
 def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The words of all runs, joined by one space."""
     for batch in batches:
@@ -186,6 +189,7 @@ def _removed(words: Words, spans: list) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+@lean
 def _finished(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):
@@ -220,7 +224,7 @@ def repeated_spans(source: DataFrame, window: int = 50) -> DataFrame:
     store, at = located(folder)
     store.create_dir(at, recursive=True)
     asked = source.mapInArrow(partial(_ask, window=window, buckets=max(8, buckets), folder=folder), _ASK_SQL)
-    answers = _stored(asked.groupBy("bucket").applyInArrow(_answer, "bucket long, chunk long, a binary"), spark, "owners")
+    answers = _stored(asked.groupBy("bucket").applyInArrow(group(_answer), "bucket long, chunk long, a binary"), spark, "owners")
     index = spark.read.schema(_INDEX_SQL).parquet(folder)
     runs = written(index.mapInArrow(partial(_runs_of, path=answers), "key long, id long, runs array<struct<start: long, windows: long, owner: long>>"), "runs")
     # Ids first, which may be broadcast; the runs meet only the documents that have any.
@@ -237,7 +241,7 @@ def repeated_spans(source: DataFrame, window: int = 50) -> DataFrame:
     asking = once.withColumn("shard", shard).join(blocks, "shard").withColumn("block", F.pmod("query", F.col("blocks")))
     shown = refs.withColumn("shard", shard).join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("query", F.lit(None).cast("long"))
     columns = ["shard", "block", "query", "owner", "passage"]
-    verdict = shown.select(columns).union(asking.select(columns)).groupBy("shard", "block").applyInArrow(lambda t: _search(t, window), "query long, spans array<struct<start: long, stop: long>>")
+    verdict = shown.select(columns).union(asking.select(columns)).groupBy("shard", "block").applyInArrow(group(_search, window), "query long, spans array<struct<start: long, stop: long>>")
     placed = queries.select("key", "start", "query").join(verdict, "query").select("key", F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["stop"] + F.col("start")).alias("stop"))).alias("spans"))
     # Runs of one document: bounded by its words.
     return placed.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))

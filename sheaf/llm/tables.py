@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.shipping import shipped
+
 #: A broadcast of ids is allowed up to so many rows (16 MB of longs, some 130 MB as a hashed relation at most).
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: that of spark.checkpoint.dir; one of this process's own only where none is set."""
+    shipped(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -25,27 +29,34 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a table or file that nothing reads any more."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark)}/sheaf-{name}-{uuid.uuid4().hex}"
-    context, jvm = spark.sparkContext, spark.sparkContext._jvm
-
-    def drop() -> None:
-        if context._jsc is not None:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-    atexit.register(drop)
+    atexit.register(deleted, spark, path)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: computed once, and safe when an executor is lost."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def released(spark: SparkSession) -> None:
+    """Between two steps: lets Spark's cleaner delete shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -23,12 +23,13 @@ from pyspark.sql import Window
 from sheaf.llm.bpe import encoder
 from sheaf.llm.files import located, new_file
 from sheaf.llm.tables import shared_path, written
-from sheaf.llm.words import pieces
+from sheaf.llm.words import lean, pieces
 
 #: Ids of a block, and bytes after which a writer begins a new file.
 BLOCK, FILE_BYTES = 1 << 21, 256 << 20
 
 
+@lean
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end: int, width: int) -> Iterator[pa.RecordBatch]:
     code = encoder(path, special=False)
     todo = (piece for batch in batches for piece in pieces(batch))
@@ -64,6 +65,7 @@ def write_flat(docs: DataFrame, path: str, folder: str, end: int = 50256, width:
     return written(source.mapInArrow(partial(_write, path=path, folder=folder, end=end, width=width), "uri string, file long, place long, id long, bytes long"), "catalogue")
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch], end: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

@@ -29,12 +29,12 @@ from pyspark.sql import Window
 from sheaf.llm.bpe import encoder
 from sheaf.llm.files import located, new_file
 from sheaf.llm.tables import shared_path, written
-from sheaf.llm.words import pieces
+from sheaf.llm.words import lean, pieces
 
 MAGIC = b"SHEAFVB1"
 #: Ids of a frame; a document is never divided.
 FRAME = 1 << 20
-_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -51,7 +51,8 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The inverse of ``pack``."""
     length = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    at = np.cumsum(length) - length
+    at = np.cumsum(length, dtype=np.int64 if len(data) >> 31 else np.int32)
+    at -= length
     body = np.frombuffer(data, np.uint8)
     out = body[at].astype(np.uint32)
     for k in (1, 2, 3):
@@ -61,6 +62,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+@lean
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     code = encoder(path)
     narrow = np.uint16 if len(code.token) <= 1 << 16 else np.uint32
@@ -79,6 +81,7 @@ def _flat(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return body.view(f"<u{width}"), (offsets - offsets[0]) // width
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(size, np.int64)
     for batch in batches:
@@ -98,6 +101,7 @@ def _frames(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
             at = stop
 
 
+@lean
 def _write(batches: Iterator[pa.RecordBatch], rank: np.ndarray, folder: str, width: int) -> Iterator[pa.RecordBatch]:
     frames = _frames(batches, width)
     one = next(frames, None)
@@ -134,6 +138,7 @@ def read_frames(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
             yield names, null, length, unpack(f.read(control), f.read(data), ids)
 
 
+@lean
 def _read(batches: Iterator[pa.RecordBatch], token: np.ndarray, ids_too: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
