@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import dates, text
-from sheaf.operators import agenda, contracts, lint, records, tree, workspace
+from sheaf.operators import agenda, contracts, export_graph, lint, records, tree, workspace
 from sheaf.plans import elements as eq
 from sheaf.plans import outline
 from sheaf.plans.match import compile_match
@@ -534,6 +534,61 @@ def contract_union(spark, d):
     return contracts.union_of(outline.elements(spark, d), [eq.Query(kind="table"), eq.Query(category="element", property_equals=[("lang", "de")])])
 
 
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    """Each nation as a document of settings, parsed: it includes the nation after it, and so on."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    text_ = F.concat(
+        F.lit("#+TITLE: "), "n_name", F.lit("\n#+OPTIONS: H:"), r, F.lit(" toc:nil\n#+INCLUDE: \"n"), (n + 1) % 25, F.lit(".org\" :lines \"1-"), n + 2, F.lit("\"\n#+SETUPFILE: s"), r, F.lit(".org\n#+TAGS: [ region : a"), r, F.lit(" b ]\n"),
+        F.when(r == 0, F.lit("#+BIBLIOGRAPHY: x.bib\n")).otherwise(""), F.lit("see [cite:@k"), n, F.lit("]\n* A :crypt:\n:PROPERTIES:\n:COLOR_ALL: red blue\n:COLOR: "), F.when(n % 2 == 0, "red").otherwise("green"), F.lit("\n:END:\n** B\n* C\n:PROPERTIES:\n:CRYPTKEY: me\n:END:\n"),
+    )
+    return org.parse(_table(spark, d, "nation").select(F.concat(F.lit("n"), n, F.lit(".org")).alias("source_file"), text_.alias("text")))
+
+
+@_register("SELECT 'n'||n_nationkey||'.org' AS source_file, 'n'||((n_nationkey+1)%25)||'.org' AS path, 'org' AS mode, 1 AS first_line, n_nationkey+2 AS last_line FROM nation")
+def include_plan(spark, d):
+    return export_graph.includes(_settings(spark, d)).select("source_file", "path", "mode", "first_line", "last_line")
+
+
+@_register("SELECT 'n'||n_nationkey||'.org' AS src, 'n'||((n_nationkey+1)%25)||'.org' AS dst, 'includes' AS kind FROM nation UNION ALL SELECT 'n'||n_nationkey||'.org', 's'||n_regionkey||'.org', 'usesSetupFile' FROM nation UNION ALL SELECT 'n'||n_nationkey||'.org', 'x.bib', 'usesBibliography' FROM nation WHERE n_regionkey=0")
+def export_dependencies(spark, d):
+    return export_graph.dependencies(_settings(spark, d))
+
+
+@_register("SELECT 'n'||n_nationkey||'.org' AS source_file, option, CASE option WHEN 'H' THEN n_regionkey::VARCHAR ELSE 'nil' END AS setting FROM nation, (VALUES ('H'),('toc')) t(option)")
+def export_options(spark, d):
+    return export_graph.options(_settings(spark, d)).select("source_file", "option", "setting")
+
+
+@_register("SELECT 'n'||n_nationkey||'.org' AS source_file, key, CASE WHEN key='TITLE' THEN n_name ELSE 'H:'||n_regionkey||' toc:nil' END AS value FROM nation, (VALUES ('TITLE'),('OPTIONS')) t(key)")
+def publishing_settings(spark, d):
+    return export_graph.publishing(_settings(spark, d)).select("source_file", "key", "value")
+
+
+@_register("SELECT 'k'||n_nationkey AS key, n_regionkey=0 AS has_bibliography FROM nation")
+def citation_plan(spark, d):
+    return export_graph.citations(_settings(spark, d)).select("key", "has_bibliography")
+
+
+@_register("SELECT 'n'||n_nationkey||'.org' AS source_file, 'region' AS tag_group, m AS member FROM nation, LATERAL (SELECT 'a'||n_regionkey AS m UNION ALL SELECT 'b') t")
+def tag_groups(spark, d):
+    return export_graph.tag_groups(_settings(spark, d))
+
+
+@_register("SELECT 'n'||n_nationkey||'.org' AS source_file, tag, false AS encrypted, warning FROM nation, (VALUES ('direct','plainBody'),('inherited','plainBody'),(NULL,'keyWithoutTag')) t(tag, warning)")
+def crypt_states(spark, d):
+    return export_graph.crypt_states(_settings(spark, d)).select("source_file", "tag", "encrypted", "warning")
+
+
+@_register("SELECT 'n'||n_nationkey||'.org' AS source_file, 'COLOR' AS key, 'green' AS value FROM nation WHERE n_nationkey%2=1")
+def property_values(spark, d):
+    return export_graph.property_values(_settings(spark, d)).select("source_file", "key", "value")
+
+
+@_register("SELECT 'n'||n_nationkey||'.org' AS source_file, heading, level FROM nation, (VALUES ('A',1),('B',2),('C',1)) t(heading, level)")
+def section_index(spark, d):
+    return records.sections(_settings(spark, d)).select("source_file", F.col("title").alias("heading"), "level")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
