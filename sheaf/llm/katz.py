@@ -10,8 +10,8 @@ whose continuations leave no mass by discounts gives one count to the rest.
 The corpus never travels word by word.  It is written once as chunks (documents
 of one task: local dictionary, packed local ids).  For each order a chunk sends
 every bucket one block of its distinct keys with training counts; the bucket
-adds up, stores its part of the model table, and answers each chunk in the
-order asked.  Answers are stored by chunk, and a chunk's task reads its own.
+adds up, stores its part of the model table (order=.../bucket=..., files named by the rows
+of chunk -1), and answers each chunk in the order asked.  Answers are stored by chunk, and a chunk's task reads its own.
 
  order 1: bucket of the word        -> count of each word
  order 2: bucket of the history     -> count of each pair, and for each history
@@ -36,16 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.files import located
-from sheaf.llm.tables import shared_path, written
+from sheaf.llm.files import located, new_file
+from sheaf.llm.tables import deleted, released, shared_path, written
 from sheaf.llm.token_output import pack, unpack
-from sheaf.llm.words import mix, of_column, pieces
+from sheaf.llm.words import distinct, group, lean, mix, of_column, pieces
 
 _U = np.uint64
 #: The end of a text, a token, and its start, a history only.
 END, START = _U(0x0E0D0F0C0A0B0D01), _U(0x05B0A0B050F0D0E03)
 K = 5
-CHUNK_TOKENS = 4 << 20
+CHUNK_TOKENS = 9 << 19
 HOT_SHARE = 64
 W48 = _U((1 << 48) - 1)
 
@@ -69,6 +69,7 @@ def _spread(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+@lean
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     ids: list = []
@@ -79,7 +80,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal ids, hashes, counts, held, number
         flat, n = np.concatenate(hashes), np.concatenate(counts)
-        words, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+        hashes = []
+        words, which = distinct(flat)
+        del flat
+        times = np.bincount(which, minlength=len(words))
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -118,6 +122,7 @@ def _bucket_order(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndar
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
+@lean
 def _ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
@@ -134,7 +139,7 @@ def _of_counts(c: np.ndarray) -> np.ndarray:
     return np.bincount(c[(c > 0) & (c <= K + 1)].astype(np.int64), minlength=K + 2)[1 : K + 2]
 
 
-def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer_words(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
     keys = [np.frombuffer(r["a"], np.uint64) for r in rows]
     found, which = np.unique(np.concatenate(keys), return_inverse=True)
@@ -142,8 +147,15 @@ def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     cuts = np.append(0, np.cumsum([len(k) for k in keys]))
     for r, a, b in zip(rows, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield _row(r["bucket"], r["chunk"], _squeezed(total[which[a:b]]))
-    # The bucket's part of the model, and its sums.
-    yield _row(rows[0]["bucket"], -1, found[total > 0].tobytes(), _squeezed(total[total > 0]), np.array([total.sum(), (total > 0).sum(), *_of_counts(total)], np.int64).tobytes())
+    part = pa.table({"word": pa.array(found[total > 0].view(np.int64)), "count": pa.array(total[total > 0])})
+    with new_file(f"{model}/order=1/bucket={rows[0]['bucket']}", ".parquet") as (uri, out):
+        pq.write_table(part, out, compression="zstd", use_dictionary=["count"], column_encoding={"word": "DELTA_BINARY_PACKED"})
+    # Where the bucket's part of the model is, and its sums.
+    yield _row(rows[0]["bucket"], -1, uri.encode(), b"", np.array([total.sum(), (total > 0).sum(), *_of_counts(total)], np.int64).tobytes())
+
+
+def _tabled(table: pa.Table, f) -> pa.Table:
+    return pa.Table.from_batches(f(iter(table.to_batches())), _ASK)
 
 
 class Discounts:
@@ -198,7 +210,7 @@ class _Chunk:
     def __init__(self, r: dict, words_path: str, buckets: int):
         self.words = np.frombuffer(r["words"], np.uint64)
         self.ids, self.n = r["ids"], np.array(r["tokens"])
-        self.tokens = unpack(r["control"], r["data"], int(self.n.sum())).astype(np.int64)
+        self.tokens = unpack(r["control"], r["data"], int(self.n.sum())).view(np.int32)
         self.train = ~held_out(self.ids)
         order, _ = _bucket_order(self.words % _U(buckets), buckets)
         self.c = np.empty(len(self.words), np.int64)
@@ -207,17 +219,24 @@ class _Chunk:
     def pairs(self, n: int, buckets: int):
         """Distinct pairs: history and word as local ids (the start is len(words)), sorted by bucket, history, word; bucket cuts; and the pair of each token."""
         d = len(self.words)
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.n) - self.n] = d
-        found, which = np.unique(before * (d + 1) + self.tokens, return_inverse=True)
-        h, w = found // (d + 1), found % (d + 1)
+        key = np.empty(len(self.tokens), np.int64)
+        key[1:] = self.tokens[:-1]
+        key[np.cumsum(self.n) - self.n] = d
+        key *= d + 1
+        key += self.tokens
+        found, which = distinct(key)
+        del key
+        h, w = (found // (d + 1)).astype(np.int32), (found % (d + 1)).astype(np.int32)
+        del found
         name = np.append(self.words, START)
         hot = np.append(self.c * HOT_SHARE >= max(n, 1), True)
-        bucket = np.where(hot[h], mix(name[h] ^ mix(self.words[w], 3), 9), mix(name[h], 9)) % _U(buckets)
+        # By history; pairs of a hot one by the word too.
+        bucket = (mix(name, 9) % _U(buckets)).astype(np.int32)[h]
+        spread = np.flatnonzero(hot[h])
+        bucket[spread] = mix(name[h[spread]] ^ mix(self.words[w[spread]], 3), 9) % _U(buckets)
         order, cuts = _bucket_order(bucket, buckets)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
         return name, hot, h[order], w[order], cuts, back[which]
 
 
@@ -226,6 +245,7 @@ def _runs(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
 
 
+@lean
 def _ask_pairs(batches: Iterator[pa.RecordBatch], words_path: str, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
@@ -238,16 +258,16 @@ def _ask_pairs(batches: Iterator[pa.RecordBatch], words_path: str, n: int, bucke
                 if cuts[b] == cuts[b + 1]:
                     continue
                 at = _runs(h[own])
-                heads = name[h[own][at]].tobytes() + np.diff(np.append(at, cuts[b + 1] - cuts[b])).astype(np.int64).tobytes()
+                heads = np.int64(len(at)).tobytes() + name[h[own][at]].tobytes() + _squeezed(np.diff(np.append(at, cuts[b + 1] - cuts[b])))
                 yield _row(b, r["chunk"], heads, low[w[own]].tobytes(), _squeezed(count[own]), _squeezed(chunk.c[w[own]]))
 
 
 def _heads(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    half = len(b) // 2
-    return np.frombuffer(b[:half], np.uint64), np.frombuffer(b[half:], np.int64)
+    stop = 8 + 8 * int(np.frombuffer(b[:8], np.int64)[0])
+    return np.frombuffer(b[8:stop], np.uint64), _spread(b[stop:], np.int64)
 
 
-def _answer_pairs(batches: Iterator[pa.RecordBatch], unigrams: Unigrams, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def _answer_pairs(batches: Iterator[pa.RecordBatch], unigrams: Unigrams, hot: dict[int, int], model: str) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
     names, sizes = zip(*(_heads(r.pop("a")) for r in rows), strict=True)
     h, head = np.unique(np.concatenate(names), return_inverse=True)
@@ -266,48 +286,55 @@ def _answer_pairs(batches: Iterator[pa.RecordBatch], unigrams: Unigrams, hot: di
         ofs[i - 1] = np.bincount(owner[total == i], minlength=len(h))
     ofs[K] = np.bincount(owner, weights=total, minlength=len(h)).astype(np.int64)
     below = np.bincount(owner[seen], weights=unigrams(word_count[first][seen]), minlength=len(h))
+    # 37 bits of the fraction, about 11 decimal places, are kept: the rest would not pack.
+    short = (below.view(np.uint64) & ~_U(0x7FFF)).view(np.float64)
     pair_cuts = np.append(0, np.cumsum([int(s.sum()) for s in sizes]))
     head_cuts = np.append(0, np.cumsum([len(x) for x in names]))
     for i, r in enumerate(rows):
         own, heads = which[pair_cuts[i] : pair_cuts[i + 1]], head[head_cuts[i] : head_cuts[i + 1]]
-        yield _row(r["bucket"], r["chunk"], _squeezed(total[own]), _squeezed(np.ascontiguousarray(ofs[:, heads].ravel())), _squeezed(below[heads]))
-    order = np.lexsort((low[first], owner))[:]
+        yield _row(r["bucket"], r["chunk"], _squeezed(total[own]), _squeezed(np.ascontiguousarray(ofs[:K, heads].ravel())), _squeezed(short[heads]))
+    order = np.lexsort((low[first], owner))
     order = order[seen[order]]
     at = _runs(owner[order])
-    stored = h[owner[order][at]].tobytes() + np.diff(np.append(at, len(order))).astype(np.int64).tobytes()
+    part = pa.table({"history": pa.array(h[owner[order]].view(np.int64)), "word": pa.array(low[first][order].view(np.int64)), "count": pa.array(total[order])})
+    with new_file(f"{model}/order=2/bucket={rows[0]['bucket']}", ".parquet") as (uri, out):
+        pq.write_table(part, out, compression="zstd", use_dictionary=["history", "count"], column_encoding={"word": "DELTA_BINARY_PACKED"})
     spread = [(int(x), j) for j, x in enumerate(h.tolist()) if x in hot]
     sums = np.array([[x, *ofs[:, j]] for x, j in spread], np.uint64).tobytes() + np.array([below[j] for _, j in spread], np.float64).tobytes()
-    yield _row(rows[0]["bucket"], -1, stored, _squeezed(low[first][order]), _squeezed(total[order]), _of_counts(total).astype(np.int64).tobytes() + sums)
+    yield _row(rows[0]["bucket"], -1, uri.encode(), b"", b"", _of_counts(total).astype(np.int64).tobytes() + sums)
 
 
-def _alpha(ofs: np.ndarray, below: np.ndarray, pairs: Discounts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of histories: alpha, the factor of seen pairs, and the number of continuations; ofs is (K + 1, n): counts of counts 1 to K, and the sum."""
-    total = ofs[K].astype(float)
+def _alpha(ofs: np.ndarray, total: np.ndarray, below: np.ndarray, pairs: Discounts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of histories: alpha, the factor of seen pairs, and the number of continuations; ofs is (K, n): how many have count 1 to K."""
+    total = total.astype(float)
     low = np.arange(1, K + 1)
-    freed = ((low - pairs(low))[:, None] * ofs[:K]).sum(axis=0)
+    freed = ((low - pairs(low))[:, None] * ofs).sum(axis=0)
     scale = np.where(freed > 0, 1.0, total / (total + 1))
     left = np.where(freed > 0, freed / np.maximum(total, 1), 1 / (total + 1))
     return np.where(total > 0, left / np.maximum(1 - below, 1e-300), 1.0), scale, total
 
 
+@lean
 def _score(batches: Iterator[pa.RecordBatch], words_path: str, pairs_path: str, unigrams: Unigrams, bigrams: Discounts, hot: dict[int, tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             chunk = _Chunk(r, words_path, buckets)
             name, is_hot, h, w, cuts, which = chunk.pairs(unigrams.n, buckets)
+            seen = np.append(chunk.c, 0)
             count, alpha, scale, total = (np.empty(len(h), t) for t in (np.int64, float, float, float))
             for x in _answers(pairs_path, r["chunk"]):
                 own = slice(cuts[x["bucket"]], cuts[x["bucket"] + 1])
                 count[own] = _spread(x["a"], np.int64)
                 at = _runs(h[own])
                 size = np.diff(np.append(at, own.stop - own.start))
-                for out, v in zip((alpha, scale, total), _alpha(_spread(x["b"], np.int64).reshape(K + 1, -1), _spread(x["c"], np.float64), bigrams), strict=True):
+                # A word is followed by another token wherever it stands, so its count is that of its continuations.
+                for out, v in zip((alpha, scale, total), _alpha(_spread(x["b"], np.int64).reshape(K, -1), seen[h[own][at]], _spread(x["c"], np.float64), bigrams), strict=True):
                     out[own] = np.repeat(v, size)
             spread = np.flatnonzero(is_hot[h])
             for head in np.unique(h[spread]).tolist():
                 ofs, below = hot[int(name[head])]
                 own = spread[h[spread] == head]
-                for out, v in zip((alpha, scale, total), _alpha(ofs[:, None], np.array([below]), bigrams), strict=True):
+                for out, v in zip((alpha, scale, total), _alpha(ofs[:K, None], ofs[K:], np.array([below]), bigrams), strict=True):
                     out[own] = v[0]
             one = unigrams(chunk.c)
             log = np.log10(np.where(count > 0, bigrams(count) * scale / np.maximum(total, 1), alpha * one[w]))
@@ -323,8 +350,14 @@ def _score(batches: Iterator[pa.RecordBatch], words_path: str, pairs_path: str,
 
 def _stored(rows: DataFrame, spark: SparkSession, name: str) -> str:
     """Answers as a table partitioned by chunk (-1: the model's parts), so that a chunk's task reads its own and nothing else."""
-    path = shared_path(spark, name)
-    rows.repartition("chunk").write.partitionBy("chunk").parquet(path)
+    path, first = shared_path(spark, name), shared_path(spark, "answers")
+    schema = rows.schema
+    rows.write.option("compression", "zstd").parquet(first)
+    del rows
+    released(spark)
+    spark.read.schema(schema).parquet(first).repartition("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(path)
+    deleted(spark, first)
+    released(spark)
     return path
 
 
@@ -342,20 +375,21 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks = written(source.mapInArrow(_chunks, _CHUNK_SQL), "chunks")
     buckets = max(8, 4 * chunks.count())
 
+    model_path = shared_path(spark, "model")
     asked = chunks.select("chunk", "words", "train").mapInArrow(partial(_ask_words, buckets=buckets), _ASK_SQL)
-    words_path = _stored(asked.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(_answer_words(iter(t.to_batches())), _ASK), _ASK_SQL), spark, "unigrams")
-    model = spark.read.schema(_ASK_SQL).parquet(words_path)
-    sums = np.zeros(K + 3, np.int64)
-    for r in model.where("chunk = -1").select("c").toLocalIterator():
-        sums += np.frombuffer(bytes(r["c"]), np.int64)
+    words_path = _stored(asked.groupBy("bucket").applyInArrow(group(_tabled, partial(_answer_words, model=model_path)), _ASK_SQL), spark, "unigrams")
+    # A row for each bucket: where its part of the model is, and its sums.
+    parts = spark.read.schema(_ASK_SQL).parquet(words_path).where("chunk = -1").select("a", "c").collect()
+    sums = sum((np.frombuffer(bytes(r["c"]), np.int64) for r in parts), np.zeros(K + 3, np.int64))
     unigrams = Unigrams(int(sums[0]), int(sums[1]), sums[2:])
     hot: dict[int, int] = {int(START): 0}
-    for r in model.where("chunk = -1").select("a", "b").toLocalIterator():
-        words, c = np.frombuffer(bytes(r["a"]), np.uint64), _spread(bytes(r["b"]), np.int64)
-        hot |= {int(x): 0 for x in words[c * HOT_SHARE >= max(unigrams.n, 1)]}
+    if parts:
+        # At most HOT_SHARE words.
+        words = spark.read.schema("word long, count long").parquet(*(bytes(r["a"]).decode() for r in parts))
+        hot |= {r["word"] % (1 << 64): 0 for r in words.where(F.col("count") * HOT_SHARE >= max(unigrams.n, 1)).select("word").collect()}
 
     asked = chunks.mapInArrow(partial(_ask_pairs, words_path=words_path, n=unigrams.n, buckets=buckets), _ASK_SQL)
-    pairs_path = _stored(asked.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(_answer_pairs(iter(t.to_batches()), unigrams, hot), _ASK), _ASK_SQL), spark, "bigrams")
+    pairs_path = _stored(asked.groupBy("bucket").applyInArrow(group(_tabled, partial(_answer_pairs, unigrams=unigrams, hot=hot, model=model_path)), _ASK_SQL), spark, "bigrams")
     of_counts = np.zeros(K + 1, np.int64)
     apart = {x: [np.zeros(K + 1, np.int64), 0.0] for x in hot}
     # A row for each bucket: counts of counts, and the sums of at most 65 histories.
