@@ -43,9 +43,9 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text that loses nothing stays as it is; of another the kept words remain,
     joined by one space, and ``n_chars`` is their length.
     """
-    cut = written(substring_dedup(docs, window=50, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text", "n_removed").dropDuplicates(["cut_id"]), "cut")
-    joined = docs.join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    changed = F.col("cut_id").isNotNull()
+    cut = substring_dedup(docs, window=50, texts=True).where("n_removed > 0").select(F.col("key").alias("cut_key"), "kept_text").dropDuplicates(["cut_key"])
+    joined = docs.join(written(cut, "cut"), F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("cut_key"), "left")
+    changed = F.col("cut_key").isNotNull()
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     return joined.withColumns({"text": text, "n_chars": F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
 

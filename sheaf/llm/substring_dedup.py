@@ -212,6 +212,7 @@ def _finished(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Rec
             out = {"id": piece.column("id"), "n_words": pa.array(words.counts), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())}
             if texts:
                 was = piece.column("text").to_pylist()
+                out["key"] = piece.column("key")
                 out["kept_text"] = pa.array([p.decode() if n else t for p, n, t in zip(parts, removed.tolist(), was, strict=True)], pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
@@ -248,7 +249,7 @@ def repeated_spans(source: DataFrame, window: int = 50) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """One row for each row: id, n_words, n_removed, kept_sha256 (of kept words joined by one space); with ``texts`` also kept_text.
+    """One row for each row: id, n_words, n_removed, kept_sha256 (of kept words joined by one space); with ``texts`` also kept_text, and key, the xxhash64 of id and text.
 
     A word is removed if a window of ``window`` words covers it whose sequence
     also starts in a document with a smaller id; windows are judged on the input.
@@ -260,5 +261,5 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = source.select(F.xxhash64("id", "text").alias("key"), "id", "text")
     spans = small(written(repeated_spans(source, window), "spans"))
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return source.join(spans, "key", "left").drop("key").mapInArrow(partial(_finished, texts=texts), schema).withColumnRenamed("id", id_col)
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", key long, kept_text string" * texts
+    return source.join(spans, "key", "left").mapInArrow(partial(_finished, texts=texts), schema).withColumnRenamed("id", id_col)
