@@ -32,3 +32,11 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, docs, tmp_path):
             now = spark.read.parquet(f"file://{tmp_path}/{turn}-{name}")
             assert now.columns == plain.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").count() == now.count()
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage, "en", "s", 9), (2, f"head {passage} tail", "en", "s", 9), (2, "another text of the same id", "en", "s", 9), (None, passage, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.substring(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in out.collect()) == [(0, passage, 9), (1, passage, 9), (2, "another text of the same id", 9), (2, "head tail", 9)]
