@@ -34,9 +34,9 @@ from sheaf.llm.files import located, put_file
 from sheaf.llm.tables import shared_path, small, written
 from sheaf.llm.words import Words, doc_grams, group, lean, of_column, pieces
 
-CHUNK_WINDOWS = 1 << 20
+CHUNK_WINDOWS = 1 << 19
 #: Words of a reference shard, and of the queries that one automaton answers.
-SHARD_WORDS, QUERY_WORDS = 100_000, 500_000
+SHARD_WORDS, QUERY_WORDS = 50_000, 250_000
 NOBODY = np.iinfo(np.int64).min
 _U = np.uint64
 
