@@ -7,13 +7,17 @@ of their own; a language's common words are fixed lists of function words, and a
 language without a list has the first histogram only.  The distance is that of
 Jensen and Shannon (base 2, 0 to 1).  It says little about short texts, so the
 verdict needs a least number of words, and each limit lies well above what sound
-prose of the length shows.  Rules on length and repetition come first.
+prose of the length shows.  For common words both ends depend on the language and
+the length: a text without any common word has a distance of 0.38 or so (the
+reach), and chance alone takes a sound text of 50 words to 0.26.  So the word limit
+is a share of the reach, on top of what chance makes of so many words.  Rules on
+length and repetition come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,10 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec mais on ou".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
 }
-#: Limits: least words for a verdict of divergence, largest distance of character classes and of common words, and base rules.
-LEAST_WORDS, CLASS_LIMIT, WORD_LIMIT = 50, 0.3, 0.7
+#: Limits: least words for a verdict of divergence, largest distance of character classes, largest share of the reach of common words, and base rules.
+LEAST_WORDS, CLASS_LIMIT, WORD_LIMIT = 50, 0.3, 0.6
+#: Standard deviations of chance that the word limit leaves at least, and lengths at which chance is worked out; beyond the last it falls as 1 / words.
+DEVIATIONS, LENGTHS = 3, np.unique(np.geomspace(8, 2048, 33).astype(np.int64))
 SHORT, REPEATED_PERCENT, RUN = 20, 30, 8
 
 #: Classes of a byte: lower, upper, digit, white space, sentence marks, quotes and brackets, symbols, control, start of a wider character, its rest (not counted).
@@ -97,6 +103,40 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((p.sum(axis=1) > 0) & (q.sum(axis=1) > 0), out, 0.0)
 
 
+@lru_cache(64)
+def _chance(reference: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean and standard deviation of the divergence of LENGTHS words drawn from a reference, and the divergence of a text without its common words."""
+    q = np.frombuffer(reference)
+    q = q / max(q.sum(), 1)
+    logs = np.append(0, np.cumsum(np.log(np.arange(1, LENGTHS[-1] + 1))))
+    some = q[(q > 0) & (q < 1)][:, None]
+    mean, spread = np.zeros(len(LENGTHS)), np.zeros(len(LENGTHS))
+    for i, n in enumerate(LENGTHS.tolist()):
+        x = np.arange(n + 1)
+        chance = np.exp(logs[n] - logs[x] - logs[n - x] + x * np.log(some) + (n - x) * np.log1p(-some))
+        p, m = x / n, (x / n + some) / 2
+        bits = (np.where(x > 0, p * np.log2(np.where(x > 0, p, 1) / m), 0) + some * np.log2(some / m)) / 2
+        own = (chance * bits).sum(axis=1)
+        mean[i], spread[i] = own.sum(), np.sqrt(((chance * bits**2).sum(axis=1) - own**2).clip(0).sum())
+    none = np.zeros((1, len(q)))
+    none[0, -1] = 1
+    return mean, spread, float(distance(none, q[None])[0]) ** 2
+
+
+def word_bounds(counts: np.ndarray, references: np.ndarray, share: float) -> np.ndarray:
+    """The largest distance of common words for texts of so many words, each against its reference (rows of counts)."""
+    out = np.zeros(len(counts))
+    kinds, which = np.unique(references, axis=0, return_inverse=True)
+    for i, reference in enumerate(kinds):
+        own = np.flatnonzero(which.ravel() == i)
+        mean, spread, reach = _chance(np.ascontiguousarray(reference, np.float64).tobytes())
+        n = np.maximum(counts[own], 1)
+        within, beyond = np.log(np.minimum(n, LENGTHS[-1])), np.maximum(n / LENGTHS[-1], 1)
+        chance, deviation = (np.interp(within, np.log(LENGTHS), x) / beyond for x in (mean, spread))
+        out[own] = np.sqrt(chance + np.maximum(share**2 * reach, DEVIATIONS * deviation))
+    return out
+
+
 @lean
 def _reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str | None, np.ndarray] = {}
@@ -174,7 +214,7 @@ def _rules(batches: Iterator[pa.RecordBatch], limits: tuple[int, float, float])
             d_class, d_word = distance(kinds.astype(float), counts[:, :CLASSES]), distance(common.astype(float), counts[:, CLASSES:])
             repeated = _repeats(words, RUN)
             failed = (n < SHORT) | (100 * repeated > REPEATED_PERCENT * n)
-            odd = (n >= limits[0]) & ((d_class > limits[1]) | (d_word > limits[2]))
+            odd = (n >= limits[0]) & ((d_class > limits[1]) | (d_word > word_bounds(common.sum(axis=1), counts[:, CLASSES:], limits[2])))
             columns = [n, _per_doc(chars, offsets), _per_doc(_SYMBOL[data], offsets), _duplicate_lines(data, offsets, words), repeated]
             yield pa.RecordBatch.from_arrays(
                 [piece.column("id"), *(pa.array(x.astype(np.int64)) for x in columns), pa.array(failed), pa.array(~failed & ~odd), pa.array(d_class), pa.array(d_word)],

@@ -14,7 +14,7 @@ from sheaf.llm.decontaminate import contamination
 from sheaf.llm.katz import katz_scores
 from sheaf.llm.licenses import license_scan
 from sheaf.llm.near_dups import near_dups, shingle_sets, sketches
-from sheaf.llm.quality import distance, quality
+from sheaf.llm.quality import COMMON, distance, quality, word_bounds
 from sheaf.llm.sharding import first_map, grown, rebalanced, shard_by_slots
 from sheaf.llm.substring_dedup import substring_dedup
 from sheaf.llm.token_counts import corpus_token_counts, token_counts
@@ -161,6 +161,35 @@ def test_quality_verdict(spark):
     assert not out[99]["base_failed"] and not out[99]["kept"] and all(out[i]["kept"] for i in range(1, 31))
 
 
+def test_quality_of_common_words(spark, sf_dir):
+    """Texts without a common word and texts of another language go (those of the like es and fr from 400 words on); sound ones stay."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet").where("quality = 1 and toxic = 0")
+    sound = [(r["doc_id"], r["text"], r["lang"]) for r in docs.join(labels, "doc_id", "left_semi").collect() if len(r["text"].split()) >= 60]
+    bare = [(10**6 + i, " ".join(w for w in t.split() if w.strip(".,;:!?-\"'()").lower() not in COMMON[lang]), lang) for i, t, lang in sound]
+    bare = [x for x in bare if len(x[1].split()) >= 60]
+    foreign = [(2 * 10**6 + i, t, {"en": "fr", "de": "en", "fr": "en", "es": "en"}[lang]) for i, t, lang in sound if lang != "en" or i % 10 == 0]
+    near = [(3 * 10**6 + i, t, {"fr": "es", "es": "fr"}[lang]) for i, t, lang in sound if lang in ("fr", "es") and len(t.split()) >= 400]
+    # Few beside the corpus, so that the references stay what they are.
+    bare, foreign, near = bare[::25], foreign[::5], near[::2]
+    extra = bare + foreign + near
+    out = {r["doc_id"]: r for r in quality(docs.union(spark.createDataFrame(extra, docs.schema))).collect()}
+    share = lambda some: np.mean([out[x[0]]["kept"] for x in some if not out[x[0]]["base_failed"]])
+    assert min(len(bare), len(foreign), len(near)) >= 5
+    assert share(bare) == 0 and share(foreign) < 0.05 and share(near) == 0
+    assert share(sound) > 0.99
+
+
+def test_word_bounds():
+    """Above what chance makes of a length, below the distance of a text without common words."""
+    rng, q = np.random.default_rng(3), np.append(1 / np.arange(3, 33), 8.0) * 1000
+    none = distance(np.array([[0.0] * 30 + [1]]), q[None])[0]
+    for n in (100, 200, 1000, 5000):
+        drawn = distance(rng.multinomial(n, q / q.sum(), 2000).astype(float), np.tile(q, (2000, 1)))
+        assert np.quantile(drawn, 0.99) < word_bounds(np.array([n]), q[None], 0.6)[0] < none
+    assert word_bounds(np.array([50]), np.array([[0.0] * 30 + [7]]), 0.6).tolist() == [0.0]
+
+
 def test_bpe(docs, rows, none, nulls):
     library = Encoder(PATH).library
     want = []
