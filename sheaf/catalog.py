@@ -182,6 +182,12 @@ def agenda_sorted(spark, d):
     return agenda.in_order(agenda.scheduled_entries(s, A, B), dates.time_of_day(F.col("title")), F.col("title"), F.col("section_id")).select("section_id", "sorted_position")
 
 
+@_register(OUTLINE + """SELECT section_id, row_number() OVER (ORDER BY greatest(scheduled, DATE '1995-06-01'), level, title, section_id) AS sorted_position FROM sections WHERE todo<>'DONE' AND scheduled<=DATE '1995-06-14'""")
+def agenda_sorted_all(spark, d):
+    entries = agenda.scheduled_entries(agenda.visible(outline.sections(spark, d)), A, B)
+    return agenda.in_order(entries, dates.time_of_day(F.col("title")), F.col("title"), F.col("section_id")).select("section_id", "sorted_position")
+
+
 @_register(OUTLINE + """SELECT section_id, (1000*(67-ascii(priority)) + CASE WHEN DATE '1998-01-01'-scheduled>0 THEN 1500+5*(DATE '1998-01-01'-scheduled) WHEN DATE '1998-01-01'=scheduled THEN 500 ELSE DATE '1998-01-01'-scheduled END + CASE WHEN todo<>'DONE' THEN 250 ELSE 0 END + CASE WHEN tags LIKE '%:BUILDING:%' THEN 200 ELSE 0 END)::BIGINT AS urgency FROM sections WHERE level=4""")
 def agenda_urgency(spark, d):
     return agenda.urgency(outline.sections(spark, d).where("level = 4"), dt.date(1998, 1, 1), ("BUILDING", "now")).select("section_id", "urgency")

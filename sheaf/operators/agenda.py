@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.dates import occurrences
+from sheaf.operators.stored import settled
 
 #: Order of kinds on one day.
 KIND_ORDER = {"deadline": 0, "scheduled": 1, "timestamp": 2, "diary": 3, "closed": 4}
@@ -62,8 +63,17 @@ def in_order(entries: DataFrame, time: Column, title: Column, *ties: Column) ->
     """The default order as 1-based ``sorted_position``: day, time (none first), kind, level, title."""
     kind = F.create_map(*(F.lit(x) for kv in KIND_ORDER.items() for x in kv))[F.col("kind")]
     # Positions of a whole agenda are one sequence: a range exchange sorts, and places are offsets of sorted runs.
-    w = Window.orderBy("display_date", time.asc_nulls_first(), kind, "level", title, *ties)
-    return entries.withColumn("sorted_position", F.row_number().over(w).cast("long"))
+    # The runs are stored, as a range exchange that runs twice may cut them elsewhere.
+    keys = [F.col("display_date").asc_nulls_first(), time.asc_nulls_first(), kind.asc_nulls_first(), F.col("level").asc_nulls_first(), title.asc_nulls_first(), *ties]
+    spark = entries.sparkSession
+    runs = settled(entries.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys))
+    # Partition in the upper 31 bits, row of it in the lower 33.
+    runs = runs.withColumn("_at", F.monotonically_increasing_id())
+    runs = runs.select("*", F.shiftright("_at", 33).alias("_run"), (F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias("_place")).drop("_at")
+    # One row for each run.
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.groupBy("_run").agg(F.count("*").alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return runs.join(F.broadcast(offsets), "_run").select(*entries.columns, (F.col("_offset") + F.col("_place")).cast("long").alias("sorted_position"))
 
 
 def urgency(rows: DataFrame, today: dt.date, tags: tuple[str, ...] = ("urgent", "now", "important")) -> DataFrame:
