@@ -158,6 +158,13 @@ def agenda_repeater(spark, d):
     return agenda.scheduled_entries(s, B, A, F.lit(1), F.lit("w")).select("section_id", "target_date", "display_date", "state")
 
 
+@_register(OUTLINE + """SELECT section_id, x::DATE AS target_date, greatest(x::DATE, DATE '1995-06-01') AS display_date, CASE WHEN x<DATE '1995-06-01' THEN 'pastDue' ELSE 'onDate' END AS state
+ FROM (SELECT section_id, unnest(generate_series(scheduled, DATE '1995-06-14', INTERVAL 7 DAY)) AS x FROM sections WHERE todo='NEXT' AND scheduled<=DATE '1995-06-14')""")
+def agenda_repeater_all(spark, d):
+    s = agenda.visible(outline.sections(spark, d)).where("todo = 'NEXT'")
+    return agenda.scheduled_entries(s, B, A, F.lit(1), F.lit("w")).select("section_id", "target_date", "display_date", "state")
+
+
 @_register("""WITH RECURSIVE r AS (SELECT o_orderkey, o_orderdate::DATE AS x FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' UNION ALL SELECT o_orderkey, (x + INTERVAL 1 MONTH)::DATE FROM r WHERE (x + INTERVAL 1 MONTH)::DATE <= DATE '1995-12-31') SELECT o_orderkey, x AS occurrence FROM r""")
 def month_repeater(spark, d):
     o = _table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("s")).where("s between date '1995-01-01' and date '1995-12-31'")

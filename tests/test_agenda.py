@@ -23,3 +23,11 @@ def test_all_open_entries_are_sorted(spark, sf_dir):
     queries = catalog.queries()
     ids = lambda name: sorted(r["section_id"] for r in queries[name](spark, sf_dir).collect())
     assert ids("agenda_sorted_all") == ids("agenda_scheduled")
+
+
+def test_old_repeaters_are_expanded(spark, sf_dir):
+    queries = catalog.queries()
+    out = queries["agenda_repeater_all"](spark, sf_dir)
+    late = queries["agenda_scheduled"](spark, sf_dir).select("section_id").join(catalog.outline.sections(spark, sf_dir).where("todo = 'NEXT'"), "section_id")
+    assert out.select("section_id").distinct().count() == late.count()
+    assert out.groupBy("section_id").agg(F.min("target_date").alias("first")).where("first < date '1995-05-01'").count() == late.where("scheduled < date '1995-05-01'").count() > 0
