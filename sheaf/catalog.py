@@ -349,6 +349,14 @@ def dependency_cycles(spark, d):
     return workspace.cycles(e, 3).select(F.array_join("path", ">").alias("cycle"))
 
 
+@_register(_EDGES.replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src=r.dst)
+ SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON b.src=a.dst AND b.dst=a.src GROUP BY 1""")
+def dependency_components(spark, d):
+    c, s = _table(spark, d, "customer"), _table(spark, d, "supplier")
+    e = c.join(s, F.col("s_suppkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
+    return workspace.cyclic_components(e)
+
+
 @_register("SELECT l_orderkey, l_suppkey, l_linenumber, CASE WHEN s_acctbal>0 THEN 'document' ELSE 'missingPath' END AS status FROM lineitem LEFT JOIN supplier ON s_suppkey=l_suppkey")
 def dependency_status(spark, d):
     e = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("dst"))

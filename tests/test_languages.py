@@ -94,6 +94,17 @@ def test_cycles(spark):
     assert sorted(r["path"] for r in workspace.cycles(edges).collect()) == [[1, 2], [1, 2, 3]]
 
 
+def test_long_cycles(spark):
+    """A ring of nine, with a chord, a way in, a way out and a second ring that it leads to."""
+    ring = [(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)]
+    edges = spark.createDataFrame([*ring, ("n5", "n0"), ("in", "n3"), ("n2", "out"), ("n4", "x"), ("x", "y"), ("y", "x"), ("y", "y")], "src string, dst string")
+    names = [f"n{i}" for i in range(9)]
+    assert sorted(r["path"] for r in workspace.cycles(edges).collect()) == [names[:6], names, ["x", "y"]]
+    assert [r["path"] for r in workspace.cycles(edges, 3).collect()] == [["x", "y"]]
+    assert {r["node"]: r["component"] for r in workspace.cyclic_components(edges).collect()} == {**dict.fromkeys(names, "n0"), "x": "x", "y": "x"}
+    assert workspace.cycles(edges.where("src = 'in'")).count() == 0
+
+
 def test_rollup_of_empty(spark):
     s = spark.createDataFrame([], "section_id long, level int, title string, ancestor_ids array<long>, effort_seconds long, todo string")
     c = spark.createDataFrame([], "section_id long, seconds long")
