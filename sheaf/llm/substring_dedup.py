@@ -75,7 +75,7 @@ def _ask(batches: Iterator[pa.RecordBatch], window: int, buckets: int, folder: s
         number_of = back[which]
         new = np.zeros(len(h), bool)
         new[first] = True
-        index = {"chunk": chunk, "bucket": _squeezed(bucket.astype(np.uint16)), "new": _squeezed(np.packbits(new)), "again": _squeezed(number_of[~new]), "keys": keys, "ids": ids, "windows": n.tolist()}
+        index = {"chunk": chunk, "bucket": _squeezed(bucket.astype(np.uint32)), "new": _squeezed(np.packbits(new)), "again": _squeezed(number_of[~new]), "keys": keys, "ids": ids, "windows": n.tolist()}
         put_file(folder, f"{chunk}.parquet", lambda out: pq.write_table(pa.Table.from_pylist([index], schema=_INDEX), out, compression="zstd"))
         own = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[own], np.arange(buckets + 1))
@@ -122,7 +122,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     """Of each document with repeated windows: runs of windows of one owner, as (first window, windows, owner)."""
     for batch in batches:
         for r in batch.to_pylist():
-            bucket, windows = _spread(r["bucket"], np.uint16), np.array(r["windows"])
+            bucket, windows = _spread(r["bucket"], np.uint32), np.array(r["windows"])
             owner = np.empty(len(bucket), np.int64)
             order = np.argsort(bucket, kind="stable")
             owner[order] = np.concatenate([_spread(x["a"], np.int64) for x in _answers(path, r["chunk"])])

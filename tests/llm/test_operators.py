@@ -244,6 +244,28 @@ def test_substring_dedup(docs, rows, none, nulls):
     assert {r["n_removed"] for r in substring_dedup(nulls, window=3).collect()} == {0}
 
 
+def test_substring_dedup_beyond_65536_buckets(rows, tmp_path, monkeypatch):
+    """Owners come back to their own windows when bucket numbers need more than 16 bits."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import sheaf.llm.substring_dedup as module
+
+    monkeypatch.setattr(module.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    monkeypatch.setattr(module, "put_file", lambda folder, name, write: write(f"{folder}/{name}"))
+    source = pa.RecordBatch.from_pydict({"key": pa.array(range(len(rows)), pa.int64()), "id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])})
+    found = []
+    for buckets in (8, 70_000):
+        folder = tmp_path / str(buckets)
+        folder.mkdir()
+        asked = pa.Table.from_batches(module._ask(iter([source]), 50, buckets, str(folder)))
+        answers = sorted(module._answer(asked).to_pylist(), key=lambda r: r["bucket"])
+        monkeypatch.setattr(module, "_answers", lambda path, chunk, answers=answers: [r for r in answers if r["chunk"] == chunk])
+        index = pa.Table.from_batches(pq.read_table(folder, schema=module._INDEX).to_batches())
+        found.append(sorted((r["key"], x["start"], x["windows"], x["owner"]) for b in module._runs_of(iter(index.to_batches()), "") for r in b.to_pylist() for x in r["runs"]))
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
 def test_automaton():
     import random
 
