@@ -12,8 +12,9 @@ Whole result, no pair explosion:
 1. documents of equal sets collapse to the smallest id before anything is banded;
 2. a bucket links its members to one centre, the member that sits in the most
    crowded buckets; each member checks its ``partners`` most alike centres on the
-   full sets, and components form;
-3. any bucket that still holds more than one component is searched exhaustively
+   full sets, and components form; its other centres in buckets of two are checked
+   then, if still in another component;
+3. any larger bucket that still holds more than one component is searched exhaustively
    in cells of bounded bytes (blocks of "probes" outside its main component
    against blocks of members), inside the task, which returns only links that
    join two components.
@@ -142,7 +143,7 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         if batch.num_rows:
             same = (_matrix(batch.column("sa"), np.uint16) == _matrix(batch.column("sb"), np.uint16)).mean(axis=1)
             go = pa.array(same >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same)], ["a", "b", "alike"]).filter(go)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("least"), pa.array(same)], ["a", "b", "least", "alike"]).filter(go)
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -210,18 +211,22 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     # Each bucket's centre; each member's most alike centres.
     central = members.groupBy("id").agg(F.sum("n").alias("links"))
     centre = members.join(central, "id").groupBy("band").agg(F.max(F.struct("links", (-F.col("id")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("b"))
-    pairs = members.join(centre, "band").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = members.join(centre, "band").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.min("n").alias("least"))
     sketch = ours.select("id", "sketch").dropDuplicates(["id"]).join(members.select("id").distinct(), "id", "left_semi")
     sketch = written(sketch, "members")
-    alike = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").mapInArrow(partial(_alike, least=percent / 100 - 0.16), "a long, b long, alike double")
-    best = alike.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))).where(F.col("place") <= partners)
+    alike = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").mapInArrow(partial(_alike, least=percent / 100 - 0.16), "a long, b long, least long, alike double")
+    ranked = alike.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))).where((F.col("place") <= partners) | (F.col("least") == 2))
+    ranked = written(ranked.select("a", "b", "place"), "pairs")
     texts = source.join(small(sketch.select("id")), "id", "left_semi")
     sets = written(texts.mapInArrow(partial(_sets, k=k), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
-    checked = best.select("a", "b").join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").mapInArrow(partial(_verified, percent=percent), "a long, b long")
-    first = written(checked, "links")
+    checked = lambda pairs: pairs.select("a", "b").join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").mapInArrow(partial(_verified, percent=percent), "a long, b long")
+    first = written(checked(ranked.where(F.col("place") <= partners)), "links")
     component = written(connected(first), "components")
+    # Pairs beyond the partners that a bucket of two holds, which is not searched below.
+    of = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    beyond = ranked.where(F.col("place") > partners).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
 
-    # Buckets that hold several components still.
+    # Larger buckets that hold several components still.
     size = sets.select("id", F.octet_length("shingles").alias("bytes"))
     labelled = members.select("band", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(size, "id")
     parts = labelled.groupBy("band", "component").agg(F.sum(F.col("bytes") + 600).alias("bytes"), F.count("*").alias("n"))
@@ -235,7 +240,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     as_member = rest.select("*", place(F.col("blocks")).alias("block"), F.explode(every(F.col("probes"))).alias("part")).withColumn("probe", F.lit(False))
     as_probe = rest.where("probe").select("*", F.explode(every(F.col("blocks"))).alias("block"), place(F.col("probes")).alias("part"))
     cells = as_member.unionByName(as_probe).select("band", "block", "part", "id", "component", "probe").join(sketch, "id").join(sets, "id")
-    more = written(cells.groupBy("band", "block", "part").applyInArrow(group(_cell, percent), "a long, b long"), "links")
+    more = written(cells.groupBy("band", "block", "part").applyInArrow(group(_cell, percent), "a long, b long").union(checked(beyond)), "links")
     if not more.isEmpty():
         component = written(connected(first.union(more)), "components")
 

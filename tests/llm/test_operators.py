@@ -60,6 +60,14 @@ def test_near_dups_in_hot_buckets(spark, monkeypatch):
     assert found == {i: c for i, (_, c) in brute.near_dups(rows).items()}
 
 
+def test_near_dups_beyond_the_partners(spark):
+    """A pair that its member's partners leave out, in buckets of two only."""
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, " ".join(words[100:] + words[:20]))], "doc_id long, text string")
+    for partners in (0, 3):
+        assert got(near_dups(docs, k=4, partners=partners), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_sketch_agrees_as_often_as_sets_do():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
