@@ -7,6 +7,7 @@ pre-tokeniser's pattern always ends a piece and looks no further; the fragments
 are then encoded independently, each distinct one once, and the ids put back
 together.  Cuts, fragment hashes and the concatenation are numpy passes over the
 raw bytes; the tokenizers library sees only fragments that are new to a worker.
+Fragments are found by their hash and told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.words import _BYTE, _GOLDEN, _U, _powers, lean, mix, pieces, raw
-from sheaf.shipping import shipped
+from sheaf.llm.tables import integral, ready
+from sheaf.llm.words import Lanes, lean, pieces, raw
 
 #: Fragments that a worker remembers before it starts afresh.
 POOL = 1_000_000
@@ -82,10 +83,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        #: Sorted hashes of known fragments and the number of each; by number its bytes, whether it is an added token, and its ids.
+        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.body, self.body_at, self.body_size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.marked = np.empty(0, bool)
+        self.pool, self.at, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First bytes of all fragments, and those of added tokens among them."""
@@ -154,7 +156,12 @@ class Encoder:
             base += len(ids)
         self.pool = np.concatenate(parts)
         spot = np.searchsorted(self.known, keys)
-        self.known, self.at, self.size = np.insert(self.known, spot, keys), np.insert(self.at, spot, at), np.insert(self.size, spot, count)
+        self.known, self.number = np.insert(self.known, spot, keys), np.insert(self.number, spot, len(self.at) + np.arange(len(a)))
+        ends = np.cumsum(n)
+        whole = data[np.repeat(a - ends + n, n) + np.arange(int(ends[-1]))]
+        self.body_at = np.append(self.body_at, len(self.body) + ends - n)
+        self.body, self.body_size, self.marked = np.append(self.body, whole), np.append(self.body_size, n), np.append(self.marked, fixed >= 0)
+        self.at, self.size = np.append(self.at, at), np.append(self.size, count)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n + 1 offsets into them."""
@@ -162,29 +169,46 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         start, added = self._split(data, offsets)
         length = np.diff(np.append(start, len(data)))
-        place = np.arange(len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), length)
-        value = _BYTE[data]
-        value *= _powers(int(length.max()))[place]
-        key = mix(np.add.reduceat(value, start) + length.astype(np.uint64) * _U(_GOLDEN))
-        if len(added):
-            key[np.searchsorted(start, added)] ^= _U(1)
-        del place, value
-        found, first, which = np.unique(key, return_index=True, return_inverse=True)
+        fixed = np.full(len(start), -1)
+        for x in added.tolist():
+            fixed[np.searchsorted(start, x)] = next(i for t, i in self.added.items() if data[x : x + len(t)].tobytes() == t)
         if len(self.known) > POOL:
             self._forget()
-        spot = np.searchsorted(self.known, found)
-        new = np.flatnonzero(self.known[np.minimum(spot, len(self.known) - 1)] != found) if len(self.known) else np.arange(len(found))
-        if len(new):
-            fixed = np.full(len(start), -1)
-            for x in added.tolist():
-                fixed[np.searchsorted(start, x)] = next(i for t, i in self.added.items() if data[x : x + len(t)].tobytes() == t)
-            own = first[new]
-            self._learn(found[new], data, start[own], length[own], fixed[own])
-            spot = np.searchsorted(self.known, found)
-        size = self.size[spot][which]
+        number = np.empty(len(start), np.int64)
+        todo, seed = np.arange(len(start)), 0
+        while len(todo):
+            # Equal hashes count for nothing unless the bytes are equal; what differs is hashed anew.
+            a, n, mark = start[todo], length[todo], fixed[todo] >= 0
+            lanes = Lanes(data, a, n)
+            key = self._keys(lanes, mark, seed)
+            found, first, which = np.unique(key, return_index=True, return_inverse=True)
+            good = lanes.same(lanes, first[which]) & (mark == mark[first[which]])
+            spot = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
+            old = self.known[spot] == found if len(self.known) else np.zeros(len(found), bool)
+            was, now = self.number[spot[old]], first[old]
+            agree = Lanes(data, a[now], n[now]).same(Lanes(self.body, self.body_at[was], self.body_size[was]), np.arange(len(was))) & (mark[now] == self.marked[was])
+            of = np.full(len(found), -1)
+            of[np.flatnonzero(old)[agree]] = was[agree]
+            new = np.flatnonzero(~old)
+            if len(new):
+                of[new] = len(self.at) + np.arange(len(new))
+                own = todo[first[new]]
+                self._learn(found[new], data, start[own], length[own], fixed[own])
+            good &= of[which] >= 0
+            number[todo[good]] = of[which[good]]
+            todo, seed = todo[~good], seed + 1
+        return self._joined(number, np.searchsorted(start, offsets))
+
+    @staticmethod
+    def _keys(lanes: Lanes, mark: np.ndarray, seed: int) -> np.ndarray:
+        return lanes.hash(seed) ^ mark.astype(np.uint64)
+
+    def _joined(self, number: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known fragments one after the other, and the places of some fragments in them."""
+        size = self.size[number]
         ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.at[spot][which] - ends + size, size) + np.arange(int(ends[-1]))]
-        return ids, np.append(0, ends)[np.searchsorted(start, offsets)]
+        ids = self.pool[np.repeat(self.at[number] - ends + size, size) + np.arange(int(ends[-1]))]
+        return ids, np.append(0, ends)[cuts]
 
     def encode_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self.encode(*raw(column))
@@ -227,6 +251,6 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     stays null; repeated rows stay.  Only the two named columns are read.
     """
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
-    shipped(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ready(docs.sparkSession)
+    source = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(partial(_round_trip, path=path, texts=texts), schema).withColumnRenamed("id", id_col)

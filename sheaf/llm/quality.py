@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.words import LOWER, Words, doc_grams, lean, pieces, raw
+from sheaf.llm.tables import integral, ready, small, written
+from sheaf.llm.words import LOWER, Lanes, Words, doc_grams, lean, pieces, raw
 
 #: Common words of languages.
 COMMON = {
@@ -191,12 +192,23 @@ def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.
     if not len(lines):
         return out
     seen = np.append(0, np.cumsum(words.inside))
-    some = seen[lines.end] > seen[lines.start]
-    doc, h = lines.doc[some], lines.hash[some]
-    cuts = np.searchsorted(doc, np.arange(len(out) + 1))
-    for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
-        own = h[cuts[i] : cuts[i + 1]]
-        out[i] = len(own) - len(np.unique(own))
+    some = np.flatnonzero(seen[lines.end] > seen[lines.start])
+    doc, lanes = lines.doc[some], lines.lanes(some)
+    # By document and hash; a line counts if its bytes are those of the line before it in this order.
+    todo, seed = np.arange(len(doc)), 0
+    h = lanes.hash() if len(doc) else np.empty(0, np.uint64)
+    while len(todo):
+        order = np.lexsort((todo, h, doc[todo]))
+        todo, h = todo[order], h[order]
+        head = np.append(True, (h[1:] != h[:-1]) | (doc[todo[1:]] != doc[todo[:-1]]))
+        first = todo[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        rest = Lanes(data, lines.start[some][todo], lines.end[some][todo] - lines.start[some][todo])
+        equal = rest.same(lanes, first)
+        out += np.bincount(doc[todo[equal & ~head]], minlength=len(out))
+        # Lines of one hash and other bytes are compared among themselves by another hash.
+        todo, seed = todo[~equal], seed + 1
+        if len(todo):
+            h = lines.lanes(some[todo]).hash(seed)
     return out
 
 
@@ -217,24 +229,23 @@ def _rules(batches: Iterator[pa.RecordBatch], limits: tuple[int, float, float])
             odd = (n >= limits[0]) & ((d_class > limits[1]) | (d_word > word_bounds(common.sum(axis=1), counts[:, CLASSES:], limits[2])))
             columns = [n, _per_doc(chars, offsets), _per_doc(_SYMBOL[data], offsets), _duplicate_lines(data, offsets, words), repeated]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), *(pa.array(x.astype(np.int64)) for x in columns), pa.array(failed), pa.array(~failed & ~odd), pa.array(d_class), pa.array(d_word)],
-                ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"],
+                [piece.column("id"), piece.column("text_hash"), *(pa.array(x.astype(np.int64)) for x in columns), pa.array(failed), pa.array(~failed & ~odd), pa.array(d_class), pa.array(d_word)],
+                ["id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"],
             )
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = LEAST_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """One row for each row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
+    """One row for each row: id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     A null or empty text has no words and fails.  Rows of a null or rare language
     are held against that language's own totals.  Null and repeated ids are rows
     like others; other columns are left out; an empty table gives an empty one.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    ready(docs.sparkSession)
+    source = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("text_hash", F.xxhash64("text"))
     reference = language_references(source.select("text", "lang"))
     # One row for each language; beyond a thousand the join is shuffled.
-    from sheaf.llm.tables import small, written
-
     reference = small(written(reference, "references"), 1000).withColumnRenamed("lang", "of")
     joined = source.join(reference, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
+    schema = "id long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
     return joined.mapInArrow(partial(_rules, limits=(least_words, class_limit, word_limit)), schema).withColumnRenamed("id", id_col)

@@ -20,9 +20,10 @@ PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
-_BASE = 0xD6E8FEB86659FD93
 _GRAM_BASE = 0xA0761D6478BD642F
 _MASK = (1 << 64) - 1
+#: Masks that leave so many low bytes.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -47,19 +48,40 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return z
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64), 77)
-
-
-def _powers(n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006  one growing table for each worker
-    have = cache.get("p")
-    if have is None or len(have) < n:
-        m = max(64, 1 << (n - 1).bit_length())
-        table = np.full(m, _U(_BASE))
-        table[0] = 1
-        have = np.multiply.accumulate(table)
-        if m <= 1 << 20:
-            cache["p"] = have
-    return have
+class Lanes:
+    """Byte ranges of ``data`` as runs of 8-byte numbers, the last of each filled up with zeros; a range of no bytes is one zero."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.length = length
+        self.many = np.maximum((length + 7) >> 3, 1)
+        self.first = np.cumsum(self.many) - self.many
+        total = int(self.many.sum())
+        self.place = np.arange(total) - np.repeat(self.first, self.many)
+        inside = self.place << 3
+        at = np.repeat(start, self.many) + inside
+        words = np.zeros((len(data) >> 3) + 3, _U)
+        words.view(np.uint8)[: len(data)] = data
+        low, shift = at >> 3, ((at & 7) << 3).astype(_U)
+        value = words[low] >> shift
+        value |= (words[low + 1] << _U(1)) << (_U(63) - shift)
+        value &= _FILLED[np.minimum(np.repeat(length, self.many) - inside, 8)]
+        self.value = value
+
+    def hash(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each range.  Each lane is mixed with its place before the sum, so no pattern of bytes cancels out."""
+        value = mix(self.value ^ mix(self.place.astype(_U), 77 + seed))
+        if len(self.many) < len(value):
+            value = np.add.reduceat(value, self.first)
+        return mix(value + self.length.astype(_U) * _U(_GOLDEN))
+
+    def same(self, other: Lanes, which: np.ndarray) -> np.ndarray:
+        """Whether each range has the very bytes of range ``which`` of ``other``."""
+        out = self.length == other.length[which]
+        own = np.repeat(out, self.many)
+        at = (np.repeat(other.first[which], self.many) + self.place)[own]
+        differ = np.flatnonzero(own)[self.value[own] != other.value[at]]
+        out[np.searchsorted(self.first, differ, side="right") - 1] = False
+        return out
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -112,21 +134,14 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def lanes(self, some: np.ndarray | slice = slice(None)) -> Lanes:
+        return Lanes(self.data, self.start[some], self.end[some] - self.start[some])
+
     @property
     def hash(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         if self._hash is None:
-            if not len(self.start):
-                self._hash = np.empty(0, np.uint64)
-                return self._hash
-            length = self.end - self.start
-            # Only bytes of words, back to back.
-            body = self.data[self.inside]
-            at = np.cumsum(length) - length
-            place = np.arange(len(body), dtype=np.int32) - np.repeat(at.astype(np.int32), length)
-            value = _BYTE[body]
-            value *= _powers(int(length.max()))[place]
-            self._hash = mix(np.add.reduceat(value, at) + length.astype(np.uint64) * _U(_GOLDEN))
+            self._hash = self.lanes().hash() if len(self.start) else np.empty(0, np.uint64)
         return self._hash
 
 
@@ -136,19 +151,20 @@ def of_column(column: pa.Array, separators: np.ndarray = SPACE, lower: bool = Fa
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """The hash of the ``k`` values from each place on, len(h) - k + 1 of them, by doubling."""
+    """The hash of the ``k`` values from each place on, len(h) - k + 1 of them, by doubling; each joint is mixed."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    joined = lambda x, y, size: mix(x, size) * _U(_GRAM_BASE) + y
     out, done, block, size, rest = None, 0, h, 1, k
     while rest:
         if rest & 1:
             part = block[done : done + n]
-            out = part.copy() if out is None else out * _U(pow(_GRAM_BASE, size, 1 << 64)) + part
+            out = part.copy() if out is None else joined(out, part, done)
             done += size
         rest >>= 1
         if rest:
-            block = block[: len(block) - size] * _U(pow(_GRAM_BASE, size, 1 << 64)) + block[size:]
+            block = joined(block[: len(block) - size], block[size:], size)
             size *= 2
     return mix(out, k)
 
