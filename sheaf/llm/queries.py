@@ -32,7 +32,7 @@ def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten ``benchmark`` words in ``documents``."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "text_hash")
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules on ``documents``."""
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
