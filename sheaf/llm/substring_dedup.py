@@ -7,11 +7,13 @@ what is repeated, and a document meets only the shards it has something in:
    bucket one block of distinct hashes with their smallest and largest document,
    and the bucket answers with the smallest document of all tasks, the owner;
 2. runs of windows that a document owns and others repeat are the reference
-   passages; runs owned by a smaller document are that document's queries;
-3. passages are dealt to shards of bounded words by owner, equal queries are
-   asked once, and each block of a shard's queries gets the shard's automaton,
-   which streams them for matching statistics on the words themselves.  Only what
-   the automaton confirms is removed, so a chance collision of hashes is not.
+   passages; runs owned by a smaller document are that document's queries; a long
+   run is divided, every window lying whole in one part;
+3. passages are dealt to shards of bounded words, those of one owner to several if
+   they are more than a shard holds; equal queries are asked once, and each block
+   of a shard's queries gets the shard's automaton, which streams them for
+   matching statistics on the words themselves.  Only what the automaton confirms
+   is removed, so a chance collision of hashes is not.
 """
 
 from __future__ import annotations
@@ -27,14 +29,17 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from sheaf.llm.automaton import Automaton
-from sheaf.llm.katz import _answers, _spread, _squeezed, _stored
 from sheaf.llm.files import located, put_file
-from sheaf.llm.tables import shared_path, small, written
+from sheaf.llm.katz import _answers, _spread, _squeezed, _stored
+from sheaf.llm.tables import fitted, integral, light, ready, shared_path, small, text_bytes, written
 from sheaf.llm.words import Words, doc_grams, group, lean, of_column, pieces
 
 CHUNK_WINDOWS = 1 << 19
+#: Bytes of text whose windows share a bucket, and windows of one part of a run.
+BUCKET_BYTES, PART_WINDOWS = 4 << 20, 20_000
 #: Words of a reference shard, and of the queries that one automaton answers.
 SHARD_WORDS, QUERY_WORDS = 50_000, 250_000
 NOBODY = np.iinfo(np.int64).min
@@ -145,8 +150,15 @@ def _runs_of(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(keys[docs]), pa.array(ids[docs]), lists], ["key", "id", "runs"])
 
 
+def _parts(runs: list[dict], window: int, part: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, words, owner) of the parts of some runs."""
+    for run in runs:
+        for at in range(0, run["windows"], part):
+            yield run["start"] + at, min(part, run["windows"] - at) + window - 1, run["owner"]
+
+
 @lean
-def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _passages(batches: Iterator[pa.RecordBatch], window: int, part: int) -> Iterator[pa.RecordBatch]:
     """The words of all runs, joined by one space."""
     for batch in batches:
         for piece in pieces(batch):
@@ -154,14 +166,14 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             out = {x: [] for x in ("key", "id", "start", "owner", "words", "passage")}
             for i, (key, id_, runs) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("key", "id", "runs")), strict=True)):
                 a = int(words.first[i])
-                for run in runs:
-                    x, n = a + run["start"], run["windows"] + window - 1
+                for start, n, owner in _parts(runs, window, part):
+                    x = a + start
                     out["passage"].append(b" ".join(words.data[s:e].tobytes() for s, e in zip(words.start[x : x + n].tolist(), words.end[x : x + n].tolist(), strict=True)).decode())
                     out["words"].append(n)
                     out["key"].append(key)
                     out["id"].append(id_)
-                    out["start"].append(run["start"])
-                    out["owner"].append(run["owner"])
+                    out["start"].append(start)
+                    out["owner"].append(owner)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((x, pa.int64()) for x in ("key", "id", "start", "owner", "words")), ("passage", pa.string())]))
 
 
@@ -219,25 +231,35 @@ def _finished(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Rec
 
 def repeated_spans(source: DataFrame, window: int = 50) -> DataFrame:
     """(key, spans): the word spans to remove of each row of ``source`` (key, id, text) that has any; confirmed by automata."""
-    spark = source.sparkSession
-    buckets = 4 * source.rdd.getNumPartitions()
+    spark = ready(source.sparkSession)
+    # Buckets follow the bytes, so that what one holds stays the same at any size and any number of partitions.
+    size = text_bytes(source)
+    buckets = -(-size // BUCKET_BYTES)
+    # Partitions that hold little are read together: each would be a chunk of its own.
+    chunked = fitted(source, size, 2 * BUCKET_BYTES)
     folder = shared_path(spark, "index")
     store, at = located(folder)
     store.create_dir(at, recursive=True)
-    asked = source.mapInArrow(partial(_ask, window=window, buckets=max(8, buckets), folder=folder), _ASK_SQL)
+    asked = chunked.mapInArrow(partial(_ask, window=window, buckets=max(1, buckets), folder=folder), _ASK_SQL)
     answers = _stored(asked.groupBy("bucket").applyInArrow(group(_answer), "bucket long, chunk long, a binary"), spark, "owners")
     index = spark.read.schema(_INDEX_SQL).parquet(folder)
     runs = written(index.mapInArrow(partial(_runs_of, path=answers), "key long, id long, runs array<struct<start: long, windows: long, owner: long>>"), "runs")
     # Ids first, which may be broadcast; the runs meet only the documents that have any.
     found = source.drop("id").join(small(runs.select("key").distinct()), "key", "left_semi").join(runs.dropDuplicates(["key"]), "key")
-    passages = written(found.mapInArrow(partial(_passages, window=window), "key long, id long, start long, owner long, words long, passage string"), "passages")
+    passages = written(fitted(found.mapInArrow(partial(_passages, window=window, part=PART_WINDOWS), "key long, id long, start long, owner long, words long, passage string"), size, 2 * BUCKET_BYTES), "passages")
+    n = passages.count()
 
     refs = passages.where("id = owner").select("owner", "words", "passage").dropDuplicates(["owner", "passage"])
+    # One owner's passages, at most the words of its document, fill group after group.
+    before = F.sum("words").over(Window.partitionBy("owner").orderBy(F.xxhash64("passage")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    refs = written(fitted(refs.withColumn("group", F.floor((before - 1) / SHARD_WORDS)), n, 50_000), "references")
+    groups = refs.groupBy("owner").agg((F.max("group") + 1).alias("groups"))
     queries = passages.where("id > owner").withColumn("query", F.xxhash64("owner", "passage"))
     once = queries.select("query", "owner", "words", "passage").dropDuplicates(["query"])
     total = refs.agg(F.sum("words")).first()[0] or 0
     shards = -(-int(total) // SHARD_WORDS) + 1
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("owner", "group"), F.lit(shards))
+    once = once.join(groups, "owner").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     blocks = once.groupBy(shard.alias("shard")).agg(F.ceil(F.sum("words") / QUERY_WORDS).cast("long").alias("blocks"))
     asking = once.withColumn("shard", shard).join(blocks, "shard").withColumn("block", F.pmod("query", F.col("blocks")))
     shown = refs.withColumn("shard", shard).join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("query", F.lit(None).cast("long"))
@@ -245,7 +267,7 @@ def repeated_spans(source: DataFrame, window: int = 50) -> DataFrame:
     verdict = shown.select(columns).union(asking.select(columns)).groupBy("shard", "block").applyInArrow(group(_search, window), "query long, spans array<struct<start: long, stop: long>>")
     placed = queries.select("key", "start", "query").join(verdict, "query").select("key", F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["stop"] + F.col("start")).alias("stop"))).alias("spans"))
     # Runs of one document: bounded by its words.
-    return placed.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return fitted(placed.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), n)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -258,8 +280,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     null id loses nothing and takes nothing from others; rows that share an id
     don't count as earlier than each other.  An empty table gives an empty table.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     source = source.select(F.xxhash64("id", "text").alias("key"), "id", "text")
-    spans = small(written(repeated_spans(source, window), "spans"))
+    spans = light(written(repeated_spans(source, window), "spans"), 16 * F.size("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", key long, kept_text string" * texts
     return source.join(spans, "key", "left").mapInArrow(partial(_finished, texts=texts), schema).withColumnRenamed("id", id_col)
