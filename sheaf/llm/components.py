@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.tables import written
+from sheaf.llm.tables import fitted, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,10 +32,11 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Empty links give an empty table; loops and repeated links do no harm.
     """
+    # Every round has at most twice the links of the one before, and files to match.
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    mark, n = None, now.count()
     for _ in range(rounds):
-        now = written(_star(_star(now, True), False), "star")
+        now = written(fitted(_star(_star(now, True), False), 2 * n), "star")
         n, s = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if (n, s) == mark:
             break

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sheaf.llm.components import connected
-from sheaf.llm.tables import small, written
+from sheaf.llm.tables import fitted, integral, ready, small, written
 from sheaf.llm.words import Words, doc_grams, grams, group, lean, mix, of_column, pieces, signed
 
 BINS, ROWS = 128, 4
@@ -198,30 +198,33 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     share an id count as one node of the graph.  Other columns are left out, so
     their names don't matter.  An empty table gives an empty table.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ready(docs.sparkSession)
+    source = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = written(source.mapInArrow(partial(_nodes, k=k), "id long, n_shingles long, k1 long, k2 long, sketch binary, bands array<long>"), "sketches")
+    n, shingles = nodes.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     some = nodes.where("n_shingles > 0 and id is not null")
-    groups = written(some.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "sets")
+    groups = written(fitted(some.groupBy("k1", "k2").agg(F.min("id").alias("rep")), n), "sets")
 
     ours = some.join(groups.withColumnRenamed("rep", "id"), ["k1", "k2", "id"], "left_semi")
     banded = ours.select(F.explode("bands").alias("band"), "id")
     crowd = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(crowd, "band"), "buckets")
+    members = written(fitted(banded.join(crowd, "band"), n * (BINS // ROWS)), "buckets")
+    m = members.count()
 
     # Each bucket's centre; each member's most alike centres.
     central = members.groupBy("id").agg(F.sum("n").alias("links"))
     centre = members.join(central, "id").groupBy("band").agg(F.max(F.struct("links", (-F.col("id")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("b"))
     pairs = members.join(centre, "band").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.min("n").alias("least"))
     sketch = ours.select("id", "sketch").dropDuplicates(["id"]).join(members.select("id").distinct(), "id", "left_semi")
-    sketch = written(sketch, "members")
+    sketch = written(fitted(sketch, min(n, m)), "members")
     alike = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").mapInArrow(partial(_alike, least=percent / 100 - 0.16), "a long, b long, least long, alike double")
     ranked = alike.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))).where((F.col("place") <= partners) | (F.col("least") == 2))
-    ranked = written(ranked.select("a", "b", "place"), "pairs")
+    ranked = written(fitted(ranked.select("a", "b", "place"), m), "pairs")
     texts = source.join(small(sketch.select("id")), "id", "left_semi")
-    sets = written(texts.mapInArrow(partial(_sets, k=k), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    sets = written(fitted(texts.mapInArrow(partial(_sets, k=k), "id long, shingles binary").dropDuplicates(["id"]), shingles, 4_000_000), "shingles")
     checked = lambda pairs: pairs.select("a", "b").join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").mapInArrow(partial(_verified, percent=percent), "a long, b long")
-    first = written(checked(ranked.where(F.col("place") <= partners)), "links")
-    component = written(connected(first), "components")
+    first = written(fitted(checked(ranked.where(F.col("place") <= partners)), partners * shingles, 4_000_000), "links")
+    component = connected(first)
     # Pairs beyond the partners that a bucket of two holds, which is not searched below.
     of = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
     beyond = ranked.where(F.col("place") > partners).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
@@ -242,7 +245,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     cells = as_member.unionByName(as_probe).select("band", "block", "part", "id", "component", "probe").join(sketch, "id").join(sets, "id")
     more = written(cells.groupBy("band", "block", "part").applyInArrow(group(_cell, percent), "a long, b long").union(checked(beyond)), "links")
     if not more.isEmpty():
-        component = written(connected(first.union(more)), "components")
+        component = connected(first.union(more))
 
     labels = groups.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))
     out = nodes.select("id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"], "left")
