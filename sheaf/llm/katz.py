@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.files import located, new_file
-from sheaf.llm.tables import deleted, released, shared_path, written
+from sheaf.llm.tables import deleted, integral, ready, released, shared_path, written
 from sheaf.llm.token_output import pack, unpack
 from sheaf.llm.words import distinct, group, lean, mix, of_column, pieces
 
@@ -370,8 +370,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Repeated rows are documents of their own.  Without training documents every
     word is unseen; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = ready(docs.sparkSession)
+    source = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     chunks = written(source.mapInArrow(_chunks, _CHUNK_SQL), "chunks")
     buckets = max(8, 4 * chunks.count())
 

@@ -4,8 +4,8 @@ Every rolling 3-gram of a document's words is joined with the places where the
 same words stand in a template.  A match votes for its diagonal, the offset of
 document place and template place; all matches of a verbatim copy share one.
 Diagonals next to each other are merged, which lets a copy gain or lose a word,
-and the span found is verified by the share of the template's grams it holds, in
-order and each once.  A short phrase is a template that must be met in full.
+and the span found is verified by the share of the template's gram places it
+holds, each counted once.  A short phrase is a template that must be met in full.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sheaf.llm.native_words import let, letter_words
+from sheaf.llm.tables import integral, small
 
 K = 3
 #: Offsets that still count as the next diagonal, and the share of a notice's grams that makes it a find.
 NEXT, LEAST = 3, 0.6
+#: Grams of templates that may be broadcast.
+BROADCAST_GRAMS = 200_000
 
 #: Phrases that name a license, with its label.
 PHRASES = {
@@ -73,11 +76,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = F.array(F.struct(F.lit(-1).alias("place"), F.lit("").alias("gram"), F.lit(0).cast("long").alias("hash")))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.size(w) >= K, F.concat(own, each)).otherwise(own).alias("grams"))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), let(letter_words(F.col(text_col)), grams).alias("of"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), integral(docs, id_col).alias("id"), let(letter_words(F.col(text_col)), grams).alias("of"))
     # The list is a column of its own, else each of its rows would carry all of it.
     rows = rows.select("row", "id", "of.n_words", "of.grams").select("row", "id", "n_words", F.explode("grams").alias("g")).select("row", "id", "n_words", "g.*")
-    # The templates are a parameter, some hundred rows.
-    met = rows.join(F.broadcast(known), (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram"))).drop("hash", "t_hash", "gram", "t_gram")
+    met = rows.join(small(known, BROADCAST_GRAMS), (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram"))).drop("hash", "t_hash", "gram", "t_gram")
     met = met.withColumn("diagonal", F.col("place") - F.col("t_place"))
     votes = met.groupBy("row", "id", "n_words", "template", "label", "phrase", "n", "diagonal").agg(F.count("*").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), F.collect_set("t_place").alias("places"))
     # A phrase: all its grams on one diagonal.  A notice: neighbouring diagonals together.

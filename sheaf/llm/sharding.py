@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sheaf.llm.tables import shared_path, written
+from sheaf.llm.tables import integral, shared_path, written
 
 SLOTS = 1 << 14
 #: Rows that are numbered together at most, on average.
@@ -93,26 +93,28 @@ def shard_by_slots(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col
     ``size``: UTF-8 bytes of the text plus 8, a null text having none; ``slot``:
     the row's place in its shard, gapless from 0; ``grown_shard`` is null, since
     the law is ``bytes``.  The hash covers id and text, so a null id is a record
-    like any other; rows equal in both share a slot.  Other columns are left out.
+    like any other; rows equal in both share a slot, equal texts of different ids
+    do not, so that a text copied a million times does not fill one shard.  Other columns are left out.
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(integral(docs, id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("hash", F.xxhash64("id", "text_crc32", "size")).withColumn("virtual_slot", F.pmod("hash", F.lit(slots)))
-    rows = written(rows, "sizes")
+    # Rows equal in all else are told apart by their place in the written table, so that they are numbered in runs too.
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "sizes")
     held = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     path = path or shared_path(spark, "slots")
     owner = first_map(slots, shards)
     store(spark, path, owner, 1)
     store(spark, path, rebalanced(owner, {s: b for s, (b, _) in held.items()}, shards), 2)
     runs = max([1, *(-(-n // RUN) for _, n in held.values())])
-    placed = rows.join(F.broadcast(stored(spark, path, 2)), "virtual_slot").withColumn("run", F.pmod(F.shiftright("hash", 20), F.lit(runs)))
+    placed = rows.join(F.broadcast(stored(spark, path, 2)), "virtual_slot").withColumn("run", F.pmod(F.xxhash64("place"), F.lit(runs)))
     # Places: rows are numbered within small runs, and runs follow each other within their shard.
     offsets = placed.groupBy("shard", "virtual_slot", "run").agg(F.count("*").alias("n"))
     order = Window.partitionBy("shard").orderBy("virtual_slot", "run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("virtual_slot", "run", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("virtual_slot", "run").orderBy("id", "text_crc32", "size"))
+    number = F.row_number().over(Window.partitionBy("virtual_slot", "run").orderBy("id", "text_crc32", "size", "place"))
     out = placed.withColumn("number", number - 1).join(offsets, ["virtual_slot", "run"])
     return out.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("number")).alias("slot"),

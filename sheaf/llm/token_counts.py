@@ -22,7 +22,7 @@ from pyspark.sql import Window
 
 from sheaf.llm.bpe import encoder
 from sheaf.llm.files import located, new_file
-from sheaf.llm.tables import shared_path, written
+from sheaf.llm.tables import integral, ready, shared_path, written
 from sheaf.llm.words import lean, pieces
 
 #: Ids of a block, and bytes after which a writer begins a new file.
@@ -54,14 +54,24 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end: int,
         part += 1
 
 
-def write_flat(docs: DataFrame, path: str, folder: str, end: int = 50256, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def id_bytes(path: str, end: int) -> int:
+    """Bytes of an id, 2 or 4, for the vocabulary and the end id."""
+    return 2 if max(len(encoder(path, special=False).token) - 1, end) < 1 << 16 else 4
+
+
+def write_flat(docs: DataFrame, path: str, folder: str, end: int = 50256, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes flat files of ``width``-byte ids into ``folder``; returns the catalogue kept beside them: (uri, file, place, id, bytes).
 
     ``place`` is the document's number in its file; ``bytes``, set now and then,
     has the file's length so far.  Strings of added tokens are ordinary text, so
-    the end id stands for an end only.
+    the end id stands for an end only.  ``width`` is the least that holds the
+    vocabulary (``id_bytes``) if None; one too narrow for it is refused.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ready(docs.sparkSession)
+    width = id_bytes(path, end) if width is None else width
+    if width < id_bytes(path, end):
+        raise ValueError(f"ids of {path} do not fit in {width} bytes")
+    source = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     return written(source.mapInArrow(partial(_write, path=path, folder=folder, end=end, width=width), "uri string, file long, place long, id long, bytes long"), "catalogue")
 
 
@@ -111,5 +121,5 @@ def corpus_token_counts(spark: SparkSession, docs: DataFrame, path: str, end: in
     """
     catalogue = write_flat(docs, path, shared_path(spark, "flat"), end=end, id_col=id_col, text_col=text_col)
     files = catalogue.groupBy("uri", "file").agg(F.max("bytes").alias("bytes"))
-    found = token_counts(files, end=end)
+    found = token_counts(files, end=end, width=id_bytes(path, end))
     return catalogue.join(found, ["file", "place"]).select(F.col("id").alias(id_col), "file", "start", "n_tokens")

@@ -28,12 +28,14 @@ from pyspark.sql import Window
 
 from sheaf.llm.bpe import encoder
 from sheaf.llm.files import located, new_file
-from sheaf.llm.tables import shared_path, written
+from sheaf.llm.tables import integral, ready, shared_path, written
 from sheaf.llm.words import lean, pieces
 
 MAGIC = b"SHEAFVB1"
 #: Ids of a frame; a document is never divided.
 FRAME = 1 << 20
+#: Bytes of ids, before they are packed, that a file is to hold.
+FILE_BYTES = 128 << 20
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
@@ -160,10 +162,11 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, folder: str, e
 
     The rank table is bounded by the vocabulary; it is also written to ``folder``.
     """
+    ready(spark)
     code = encoder(path)
     size = len(code.token)
     width = 2 if size <= 1 << 16 else 4
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     encoded = written(source.mapInArrow(partial(_encode, path=path, end=end), "id long, ids binary"), "ids")
     counts = encoded.select("ids").mapInArrow(partial(_counts, width=width, size=size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     total = np.zeros(size, np.int64)
@@ -174,8 +177,9 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, folder: str, e
     rank[token] = np.arange(size, dtype=np.uint32)
     with new_file(folder, ".ranks") as (_, out):
         out.write(token.astype("<u4").tobytes())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(parts, "id").sortWithinPartitions("id", F.length("ids"), "ids")
+    # A file is what one task writes; ties of ids are dealt on by their contents.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total.sum()) * width // FILE_BYTES))
+    ordered = encoded.repartitionByRange(parts, "id", F.length("ids"), F.xxhash64("ids")).sortWithinPartitions("id", F.length("ids"), F.xxhash64("ids"))
     return written(ordered.mapInArrow(partial(_write, rank=rank, folder=folder, width=width), "part long, uri string, documents long, tokens long"), "manifest"), token
 
 
@@ -191,7 +195,7 @@ def token_round_trip(spark: SparkSession, docs: DataFrame, path: str, end: int =
     """Writes token files in the shared folder and returns what they hold: id, start, n_tokens (end included), ids_crc32.
 
     A null or empty text is the end id alone.  Null ids come first; rows of one id
-    follow each other by length and ids.  An empty table gives no files and no rows.
+    follow each other by length and a hash of their ids.  An empty table gives no files and no rows.
     """
     manifest, token = write_tokens(spark, docs, path, shared_path(spark, "tokens"), end, id_col, text_col)
     return read_tokens(manifest, token).withColumnRenamed("id", id_col)
