@@ -21,19 +21,31 @@ from sheaf.llm.substring_dedup import substring_dedup
 from sheaf.llm.tables import small, written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows of some ids; rows with a null id stay."""
-    gone = ids.select(F.col("doc_id").alias("gone")).where("gone is not null").distinct()
-    return docs.join(small(written(gone, "gone")), F.col("doc_id") == F.col("gone"), "left_anti")
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` but for the rows of some ids, and of some texts of theirs if ``rejected`` has a text_hash; rows with a null id stay."""
+    by_text = "text_hash" in rejected.columns
+    gone = rejected.select(F.col("doc_id").alias("gone"), F.col("text_hash" if by_text else "doc_id").alias("gone_hash")).where("gone is not null").distinct()
+    same = F.col("doc_id") == F.col("gone")
+    return docs.join(small(written(gone, "gone")), same & (F.xxhash64("text") == F.col("gone_hash")) if by_text else same, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    A null or empty text has no words and is rejected; a row with a null id stays;
+    rows that share an id are judged each by its own text, equal rows go or stay
+    together; an empty table stays empty.
+    """
     return _without(docs, quality(docs).where("not kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Texts without words and rows with a null id are in no group and stay; rows
+    that share an id are one document and stay or go together; an empty table
+    stays empty.
+    """
     return _without(docs, near_dups(docs, k=5, percent=80).where("not kept"))
 
 
@@ -41,7 +53,9 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that earlier documents have are cut out; every document stays.
 
     A text that loses nothing stays as it is; of another the kept words remain,
-    joined by one space, and ``n_chars`` is their length.
+    joined by one space, and ``n_chars`` is their length.  Null texts and rows
+    with a null id stay as they are; rows that share an id don't count as earlier
+    than each other; an empty table stays empty.
     """
     cut = substring_dedup(docs, window=50, texts=True).where("n_removed > 0").select(F.col("key").alias("cut_key"), "kept_text").dropDuplicates(["cut_key"])
     joined = docs.join(written(cut, "cut"), F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("cut_key"), "left")
@@ -51,12 +65,19 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten benchmark words go."""
+    """Documents that hold a window of ten benchmark words go.
+
+    Null and empty texts and rows with a null id stay; rows that share an id are
+    judged each by its own text; an empty table or benchmark removes nothing.
+    """
     return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and their decoding: the counts and checksums of each document."""
+    """Token ids of what is left, and their decoding: the counts and checksums of each document.
+
+    A null text counts as empty; null and repeated ids are rows like others.
+    """
     return bpe_round_trip(docs, vocabulary())
 
 
