@@ -70,3 +70,11 @@ def link_kind(path: Column) -> Column:
         .when(F.startswith(path, F.lit("#")), "custom-id").when(F.startswith(path, F.lit("*")), "headline").when(F.startswith(path, F.lit("(")) & F.endswith(path, F.lit(")")), "coderef")
         .when(F.regexp(path, F.lit(r"^(/|\./|\.\./|~/)")), "file").when(head != "", "custom").otherwise("fuzzy")
     )
+
+
+def id_folder(c: Column) -> Column:
+    """The folder of an ID below the attachment root: two letters and the rest of a UUID, six digits and the rest of a timestamp, else __/ and the first letter."""
+    uuid = F.regexp(c, F.lit(r"^(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"))
+    stamp = F.regexp(c, F.lit(r"^\d{8}T\d{6}"))
+    cut = lambda n: F.concat(F.substring(c, 1, n), F.lit("/"), F.substring(c, n + 1, 1 << 20))
+    return F.when(uuid, cut(2)).when(stamp, cut(6)).when(c != "", F.concat(F.lit("__/"), F.substring(c, 1, 1), F.lit("/"), c))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.dates import occurrences
 from sheaf.operators.stored import settled
+from sheaf.operators.tree import is_done
 
 #: Order of kinds on one day.
 KIND_ORDER = {"deadline": 0, "scheduled": 1, "timestamp": 2, "diary": 3, "closed": 4}
@@ -21,8 +22,8 @@ def _range(start: dt.date, end: dt.date) -> tuple[dt.date, dt.date]:
 
 
 def visible(sections: DataFrame, include_done: bool = False, required: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> DataFrame:
-    """Headlines that an agenda may show: no DONE unless asked, all required tags, no excluded one."""
-    out = sections if include_done else sections.where(F.coalesce(F.col("todo") != "DONE", F.lit(True)))
+    """Headlines that an agenda may show: none that is done unless asked, all required tags, no excluded one."""
+    out = sections if include_done else sections.where(~is_done(sections))
     for tag in required:
         out = out.where(F.array_contains("effective_tags", tag))
     return out.where(~F.arrays_overlap("effective_tags", F.array(*map(F.lit, excluded)).cast("array<string>"))) if excluded else out
@@ -82,7 +83,7 @@ def urgency(rows: DataFrame, today: dt.date, tags: tuple[str, ...] = ("urgent",
     late = F.date_diff(F.lit(today), F.col("scheduled"))
     scheduled = F.when(F.col("scheduled").isNull(), 0).when(late > 0, 1500 + 5 * late).when(late == 0, 500).otherwise(late)
     pressing = F.size(F.array_intersect("effective_tags", F.array(*map(F.lit, tags))))
-    todo = F.when(F.col("todo").isNotNull() & (F.col("todo") != "DONE"), TODO_SCORE).otherwise(0)
+    todo = F.when(F.col("todo").isNotNull() & ~is_done(rows), TODO_SCORE).otherwise(0)
     return rows.withColumn("urgency", (PRIORITY_STEP * (lowest - value) + scheduled + todo + TAG_SCORE * pressing).cast("long"))
 
 

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from sheaf.functions.dates import hours_minutes
 
 
+def is_done(sections: DataFrame) -> Column:
+    """Whether a headline's keyword is a done one: by the kind of the keyword where the parser gives it, else by the name DONE."""
+    return F.coalesce(F.col("todo_type") == "done" if "todo_type" in sections.columns else F.col("todo") == "DONE", F.lit(False))
+
+
 def clock_summary(clocks: DataFrame) -> DataFrame:
     """By section: entries, closed, running, total_seconds."""
     closed = F.col("seconds").isNotNull()
@@ -39,8 +44,7 @@ def clock_rollup(sections: DataFrame, clocks: DataFrame) -> DataFrame:
 def progress(sections: DataFrame) -> DataFrame:
     """Headlines with TODO below each section, itself not counted, and effort with it."""
     state = F.col("todo").isNotNull()
-    done = F.col("todo") == "DONE"
-    below = subtree_sums(sections, {"total": state.cast("long"), "done": F.coalesce(done, F.lit(False)).cast("long")}, include_self=False)
+    below = subtree_sums(sections, {"total": state.cast("long"), "done": (state & is_done(sections)).cast("long")}, include_self=False)
     effort = subtree_sums(sections, {"effort": F.coalesce("effort_seconds", F.lit(0))})
     out = sections.select("section_id", "level").join(effort, "section_id").join(below, "section_id", "left")
     total, done = F.coalesce("total", F.lit(0)), F.coalesce("done", F.lit(0))
@@ -100,11 +104,12 @@ def ordered_blockers(rows: DataFrame, parent: str, order: str, is_open: Column)
 
 
 def stuck_projects(sections: DataFrame, next_keywords: tuple[str, ...] = ("NEXT",)) -> DataFrame:
-    """Sections with an open headline below and none that is a next action (by keyword or the tag next)."""
-    is_open = F.col("todo").isNotNull() & (F.col("todo") != "DONE")
-    is_next = F.col("todo").isin(*next_keywords) | F.array_contains("effective_tags", "next")
+    """Headlines with a TODO that have an open one below and none that is a next action (by keyword or the tag next, in any case)."""
+    is_open = F.col("todo").isNotNull() & ~is_done(sections)
+    is_next = F.upper("todo").isin(*(k.upper() for k in next_keywords)) | F.exists("effective_tags", lambda t: F.lower(t) == "next")
     below = subtree_sums(sections, {"open": F.coalesce(is_open, F.lit(False)).cast("long"), "nexts": F.coalesce(is_next, F.lit(False)).cast("long")}, include_self=False)
-    return below.where((F.col("open") > 0) & (F.col("nexts") == 0)).select("section_id", "open")
+    projects = sections.where(F.col("todo").isNotNull()).select("section_id")
+    return below.where((F.col("open") > 0) & (F.col("nexts") == 0)).join(projects, "section_id", "left_semi").select("section_id", "open")
 
 
 def nearest_inherited(sections: DataFrame, value: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.operators.stored import settled
+from sheaf.operators.tree import is_done
 
 
 def resolve_links(links: DataFrame, targets: DataFrame) -> DataFrame:
@@ -125,11 +126,11 @@ def sparse_tree(sections: DataFrame, match: Column, include_done: bool = True, t
         reason = F.when(~text, "text").otherwise(reason)
     reason = F.when(~match, "match").otherwise(reason)
     if not include_done:
-        reason = F.when(F.coalesce(F.col("todo") == "DONE", F.lit(False)), "done").otherwise(reason)
+        reason = F.when(is_done(sections), "done").otherwise(reason)
     return sections.withColumn("skip_reason", reason)
 
 
 def task_list(sections: DataFrame, view: str, limit: int, order: list[str]) -> DataFrame:
     """Tasks of a view (active, done), the first ``limit`` in order."""
-    state = {"active": F.col("todo") != "DONE", "done": F.col("todo") == "DONE"}[view]
+    state = {"active": ~is_done(sections), "done": is_done(sections)}[view]
     return sections.where(F.col("todo").isNotNull() & state).orderBy(*order).limit(limit)

@@ -32,9 +32,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows += records(name, text)
-            while len(rows) >= BATCH:
-                yield pa.RecordBatch.from_pylist(rows[:BATCH], schema=_ARROW)
-                rows = rows[BATCH:]
+            if len(rows) >= BATCH:
+                for at in range(0, len(rows), BATCH):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + BATCH], schema=_ARROW)
+                rows = []
     if rows:
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 

@@ -122,12 +122,19 @@ class Parser:
         root = self.add(None, "document", "org-data", 0, n)
         self.body(root, 0, heads[0] if heads else n)
         open_: list[Row] = [root]
+        # Where each headline's tree ends: the next headline as high or higher.
+        ends, waiting = [n] * len(heads), []
+        for k, i in enumerate(heads):
+            depth = len(self.lines[i]) - len(self.lines[i].lstrip("*"))
+            while waiting and waiting[-1][1] >= depth:
+                ends[waiting.pop()[0]] = i
+            waiting.append((k, depth))
         for k, i in enumerate(heads):
             level = len(self.lines[i]) - len(self.lines[i].lstrip("*"))
             end = heads[k + 1] if k + 1 < len(heads) else n
             while open_[-1].level >= level:
                 open_.pop()
-            tree_end = next((j for j in heads[k + 1 :] if len(self.lines[j]) - len(self.lines[j].lstrip("*")) <= level), n)
+            tree_end = ends[k]
             row = self.headline(open_[-1], i, end, tree_end, level)
             open_.append(row)
         return self.rows
@@ -170,7 +177,7 @@ class Parser:
                         old = row.properties.get(key, row.inherited.get(key)) if q[2] else None
                         row.properties[key] = f"{old} {value}" if old else value
                         row.inherited[key] = row.properties[key]
-                        self.add(drawer, "property", "node-property", j, j + 1, {"key": q[1], "value": value})
+                        self.add(drawer, "property", "node-property", j, j + 1, {"key": q[1] + q[2], "value": value})
                 at = stop + 1
         row.tags = list(dict.fromkeys([*parent.tags, *tags]))
         row.outline = [*parent.outline, rest]
