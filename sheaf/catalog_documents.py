@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.catalog import _register, _table
-from sheaf.operators import lint, lint_progress, lint_sdd
+from sheaf.catalog import OUTLINE, _customers, _parsed, _register, _table
+from sheaf.operators import agenda_views, columns, lint, lint_progress, lint_sdd, records, tree
+from sheaf.plans import outline
 from sheaf.sources import org
 
 
@@ -113,3 +114,124 @@ _POSITION = {code: i for i, (_, codes, _) in enumerate(CASES) for code in codes}
 @_register(f"SELECT s_suppkey AS supplier, t.id, t.target_id, s_suppkey%{len(CASES)}<>{_POSITION['ORG033']} OR t.id<>'{_uuid(33)}' AS resolved FROM supplier, LATERAL (SELECT '{_uuid(33)}' AS id, CASE WHEN s_suppkey%{len(CASES)}={_POSITION['ORG033']} THEN 'none' ELSE '{_uuid(32)}' END AS target_id UNION ALL SELECT '{_uuid(37)}', '{_uuid(32)}') t")
 def sdd_graph(spark, d):
     return lint_sdd.graph(_cases(spark, d)).select(F.col("source_file").cast("long").alias("supplier"), "id", "target_id", "resolved")
+
+
+@_register(f"SELECT s_suppkey AS supplier, kind, n FROM supplier, LATERAL (SELECT 'orderedProperty' AS kind, 1 AS n UNION ALL SELECT 'openDescendantTodo', CASE WHEN s_suppkey%{len(CASES)}={_POSITION['ORG029']} THEN 2 ELSE 1 END) t")
+def dependency_counts(spark, d):
+    """What waits for what, of the headline o of each document."""
+    e = _cases(spark, d)
+    heads = e.where("kind = 'headline'").where(F.try_element_at("properties", F.lit("title")) == "o").select("source_file", "id")
+    return lint_progress.dependency_counts(e).join(heads, ["source_file", "id"], "left_semi").select(F.col("source_file").cast("long").alias("supplier"), "kind", "n")
+
+
+@_register(f"SELECT s_suppkey AS supplier, count(*)::BIGINT AS headlines, sum(boxes)::BIGINT AS boxes, sum(checked)::BIGINT AS checked FROM supplier, (VALUES (1,0),(2,1)) t(boxes, checked) GROUP BY 1")
+def checkbox_counts(spark, d):
+    """Boxes under headlines, nested lists included: one list under a task, one with a box below another."""
+    e = _cases(spark, d)
+    heads = e.where("kind = 'headline'").select("source_file", "id")
+    rows = lint_progress.box_counts(e).join(heads, ["source_file", "id"], "left_semi")
+    return rows.groupBy(F.col("source_file").cast("long").alias("supplier")).agg(F.count("*").alias("headlines"), F.sum("boxes").alias("boxes"), F.sum("checked").alias("checked"))
+
+
+# Column summaries as text, over the prices of orders by customer, nation and region.
+
+
+def _column(name: str, op: str, how: str, shown: str, made: str = "") -> None:
+    """``how``: the aggregate of a number n; ``shown``: its text; the next level reads its text back by ``made``."""
+    made = made or "s::DOUBLE"
+    level = lambda n, below: f""", l{n} AS (SELECT x.section_id, {shown.format(a=how)} AS s FROM sections x JOIN (SELECT parent_id, {made} AS n FROM {below}) y ON y.parent_id=x.section_id WHERE x.level={n} GROUP BY 1),
+     p{n} AS (SELECT parent_id, s FROM l{n} JOIN sections USING (section_id))"""
+    first = """, l4 AS (SELECT section_id, parent_id, {v} AS s FROM sections WHERE level=4)""".format(v="effort//60||'min'" if op.startswith(":") else "price::DECIMAL(18,2)::VARCHAR")
+    minutes = "(split_part(s,':',1)::BIGINT*60+split_part(s,':',2)::BIGINT)*60"
+    sql = OUTLINE + first + level(3, "l4").replace(made, "replace(s,'min','')::BIGINT*60" if op.startswith(":") else made) + level(2, "p3").replace(made, minutes if op.startswith(":") else made) + level(1, "p2").replace(made, minutes if op.startswith(":") else made)
+    sql += "SELECT section_id, s AS summary FROM l3 UNION ALL SELECT section_id, s FROM l2 UNION ALL SELECT section_id, s FROM l1"
+
+    def query(spark, d):
+        s = outline.sections(spark, d)
+        more = F.when(F.col("level") == 4, F.map_concat("properties", F.create_map(F.lit("SPAN"), F.concat(F.floor(F.col("effort_seconds") / 60).cast("string"), F.lit("min"))))).otherwise(F.col("properties"))
+        out = columns.summaries(s.withColumn("properties", more), "SPAN" if op.startswith(":") else "PRICE", op)
+        return out.where("status = 'computed'").select("section_id", "summary")
+
+    query.__name__ = f"column_{name}"
+    _register(sql)(query)
+
+
+_DECIMALS = "printf('%.2f', {a})"
+_CLOCK = "(floor((round({a})+30)/60)::BIGINT//60)||':'||lpad((floor((round({a})+30)/60)::BIGINT%60)::VARCHAR,2,'0')"
+for _name, _op, _how, _shown in (("currency", "$", "sum(n)", _DECIMALS), ("duration", ":", "sum(n)", _CLOCK), ("duration_min", ":min", "min(n)", _CLOCK), ("duration_max", ":max", "max(n)", _CLOCK), ("duration_mean", ":mean", "avg(n)", _CLOCK)):
+    _column(_name, _op, _how, _shown)
+
+
+@_register(OUTLINE + "SELECT count(*) AS n, count(*) FILTER (level=3) AS customers FROM sections")
+def column_ages(spark, d):
+    """Operators that are known and not supported, over every headline that has inputs or none."""
+    s = outline.sections(spark, d)
+    out = columns.summaries(s, "BALANCE", "@max")
+    ok = out.where("summary is null and status in ('unsupported', 'noInputs')")
+    return ok.agg(F.count("*").alias("n"), F.count_if(F.col("level") == 3).alias("customers"))
+
+
+@_register(OUTLINE + "SELECT level, CASE WHEN level=3 THEN 'local' ELSE 'missing' END AS origin, count(*) AS n FROM sections GROUP BY ALL")
+def column_cells(spark, d):
+    s = outline.sections(spark, d)
+    value, origin = columns.cell(s, "BALANCE")
+    return s.groupBy("level", origin.alias("origin")).agg(F.count("*").alias("n"))
+
+
+# Agenda views over the orders, a document for each customer.
+
+
+def _agenda(spark: SparkSession, d: str) -> DataFrame:
+    s = outline.sections(spark, d).where("level = 4")
+    return s.withColumns({"source_file": F.col("parent_id").cast("string"), "deadline": F.date_add("scheduled", 30), "category": F.lit(None).cast("string")})
+
+
+_VIEW = {"start": dt.date(1995, 6, 1), "end": dt.date(1995, 6, 30)}
+_ENTRIES = OUTLINE + """, open AS (SELECT * FROM sections WHERE level=4 AND todo<>'DONE'),
+ entries AS (SELECT section_id, parent_id, priority, title, 'scheduled' AS kind, greatest(scheduled, DATE '1995-06-01') AS day, CASE WHEN scheduled<DATE '1995-06-01' THEN 'pastDue' ELSE 'onDate' END AS state, 1 AS k FROM open WHERE scheduled<=DATE '1995-06-30'
+ UNION ALL SELECT section_id, parent_id, priority, title, 'deadline', greatest(scheduled+30, DATE '1995-06-01'), CASE WHEN scheduled+30<DATE '1995-06-01' THEN 'overdue' ELSE 'due' END, 0 FROM open WHERE scheduled+30<=DATE '1995-06-30')
+"""
+
+
+@_register(_ENTRIES + "SELECT section_id, kind, state, row_number() OVER (PARTITION BY parent_id ORDER BY priority ASC, day DESC, section_id, day, k) AS position, row_number() OVER (PARTITION BY parent_id ORDER BY priority ASC, day DESC, section_id, day, k)>5 AS skipped FROM entries")
+def agenda_view(spark, d):
+    """Each customer's agenda by priority, then from the last day back, five entries at most let through."""
+    view = agenda_views.View(**_VIEW, strategy=(("priority", "up"), ("displayDate", "down"), ("title", "keep")), limit=5)
+    return agenda_views.plan(_agenda(spark, d), view).select("section_id", "kind", "state", "position", "skipped")
+
+
+@_register(_ENTRIES + "SELECT i AS block_index, name AS block_name, section_id, state FROM entries JOIN (VALUES (0,'plans','scheduled'),(1,'ends','deadline')) t(i, name, k2) ON kind=k2")
+def agenda_blocks(spark, d):
+    views = [agenda_views.View(**_VIEW, deadlines=False, name="plans"), agenda_views.View(**_VIEW, scheduled=False, name="ends")]
+    return agenda_views.block_plan(_agenda(spark, d), views).select("block_index", "block_name", "section_id", "state")
+
+
+@_register(_ENTRIES + """, rows AS (SELECT DISTINCT 'days' AS command, 'agenda' AS kind, section_id, parent_id FROM entries UNION ALL SELECT 'tasks', 'todo', section_id, parent_id FROM open
+ UNION ALL SELECT 'dear', 'match', section_id, parent_id FROM sections WHERE level=4 AND priority='A' UNION ALL SELECT 'found', 'search', section_id, parent_id FROM sections WHERE level=4 AND contains(title, '#99'))
+ SELECT command, kind, section_id, row_number() OVER (PARTITION BY command, parent_id ORDER BY section_id) AS place, row_number() OVER (PARTITION BY command, parent_id ORDER BY section_id)>3 AS skipped FROM rows""")
+def agenda_commands(spark, d):
+    wanted = [("days", "agenda", agenda_views.View(**_VIEW)), ("tasks", "todo", None), ("dear", "match", F.col("priority") == "A"), ("found", "search", "order#99")]
+    return agenda_views.commands(_agenda(spark, d), wanted, limit=3).select("command", "kind", "section_id", "place", "skipped")
+
+
+@_register(_ENTRIES + "SELECT decision, severity, count(*) AS n FROM (SELECT CASE WHEN state='onDate' THEN 'scheduled' ELSE state END AS decision, CASE WHEN state='overdue' THEN 'error' WHEN state IN ('due','pastDue') THEN 'warning' ELSE 'info' END AS severity FROM entries) GROUP BY ALL")
+def planning_snapshot(spark, d):
+    return agenda_views.snapshot(_agenda(spark, d), agenda_views.View(**_VIEW)).groupBy("decision", "severity").agg(F.count("*").alias("n"))
+
+
+@_register(OUTLINE + "SELECT section_id, 1000*(67-ascii(priority))+CASE WHEN todo<>'DONE' THEN 250 ELSE 0 END AS urgency FROM sections WHERE level=4")
+def section_urgency(spark, d):
+    s = _agenda(spark, d)
+    return s.select("section_id", agenda_views.section_urgency(s).alias("urgency"))
+
+
+@_register("SELECT 'closed' AS state, count(*) AS n FROM customer UNION ALL SELECT 'background', count(*) FROM customer")
+def memory_query(spark, d):
+    cards = records.memory_cards(_parsed(spark, d))
+    return agenda_views.memory(cards, states=("closed", "background", "current"), excluded=("noexport",)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT c_custkey::VARCHAR AS source_file, c_name AS title FROM customer WHERE c_custkey%50=7 AND contains(lower(c_name), 'customer') ORDER BY 1 LIMIT 12")
+def memory_found(spark, d):
+    cards = records.memory_cards(_parsed(spark, d))
+    return agenda_views.memory_search(cards, terms=["CUSTOMER"], properties={"ID": "k7"}, root_only=True).select("source_file", "title")
