@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.catalog import OUTLINE, _customers, _parsed, _register, _table
-from sheaf.operators import agenda_views, columns, lint, lint_progress, lint_sdd, records, tree
+from sheaf.catalog import OUTLINE, _parsed, _register, _table
+from sheaf.functions import org_text
+from sheaf.operators import agenda_views, columns, lint, lint_progress, lint_sdd, plans, records
 from sheaf.plans import outline
 from sheaf.sources import org
 
@@ -235,3 +236,116 @@ def memory_query(spark, d):
 def memory_found(spark, d):
     cards = records.memory_cards(_parsed(spark, d))
     return agenda_views.memory_search(cards, terms=["CUSTOMER"], properties={"ID": "k7"}, root_only=True).select("source_file", "title")
+
+
+# Plans and small notations.
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each supplier with timers, a feed, radio targets, a choice, a result to replace and attachments."""
+    k = F.col("s_suppkey")
+    text_ = F.concat(
+        F.lit("<<<deep sea>>> <<<sea>>>\n\nThe deep sea and the sea, not seaside.\n* Clocked 0:"), F.format_string("%02d", k % 60), F.lit(":10 :FLAGGED:\n:PROPERTIES:\n:ID: 20240101T120000-"), k, F.lit("\n:END:\n:FEEDSTATUS:\n((\"a\" 1) (\"b\" 2)"), F.when(k % 2 == 0, ")").otherwise(""),
+        F.lit("\n:END:\n[[*Clocked 0:"), F.format_string("%02d", k % 60), F.lit(":10]] [[*Lost]]\n#+NAME: choices\n| label | value |\n|---+---|\n| yes | "), k, F.lit(" |\n| no | 0 |\n\n#+NAME: run\n#+begin_src sql\nselect "), k, F.lit("\n#+end_src\n\n#+RESULTS: run\n: old\n"),
+    )
+    return _table(spark, d, "supplier").select(k.cast("string").alias("source_file"), text_.alias("text"))
+
+
+@_register("SELECT s_suppkey AS supplier, t.kind, CASE t.kind WHEN 'timer' THEN (s_suppkey%60)*60+10 WHEN 'feed' THEN CASE WHEN s_suppkey%2=0 THEN 2 ELSE -1 END ELSE 0 END AS n FROM supplier, (VALUES ('timer'),('feed'),('flagged')) t(kind)")
+def runtime_metadata(spark, d):
+    return plans.runtime_metadata(org.parse(_notes(spark, d))).select(F.col("source_file").cast("long").alias("supplier"), "kind", "n")
+
+
+@_register("SELECT s_suppkey AS supplier, t.* FROM supplier, (VALUES (0::INT,'deep sea'),(1,'sea')) t(\"at\", target)")
+def radio_links(spark, d):
+    found = plans.radio_links(org.parse(_notes(spark, d)))
+    return found.select(F.col("source_file").cast("long").alias("supplier"), "at", "target")
+
+
+@_register("SELECT s_suppkey AS supplier, path, CASE WHEN path='*Lost' THEN path ELSE substr(path, 2) END AS shown FROM (SELECT s_suppkey, unnest(['*Clocked 0:'||lpad((s_suppkey%60)::VARCHAR,2,'0')||':10', '*Lost']) AS path FROM supplier)")
+def link_descriptions(spark, d):
+    e = org.parse(_notes(spark, d))
+    links = records.links(e, abbreviations=False)
+    return plans.link_descriptions(links, records.sections(e)).select(F.col("source_file").cast("long").alias("supplier"), "path", "shown")
+
+
+@_register("SELECT s_suppkey AS supplier, t.place, t.label, CASE WHEN t.label='yes' THEN s_suppkey::VARCHAR ELSE '0' END AS value FROM supplier, (VALUES (0,'yes'),(1,'no')) t(place, label)")
+def choice_tables(spark, d):
+    return plans.choices(org.parse(_notes(spark, d))).select(F.col("source_file").cast("long").alias("supplier"), "place", "label", "value")
+
+
+@_register("SELECT s_suppkey AS supplier, t.name, t.status, CASE WHEN t.status='ready' THEN 'select '||s_suppkey END AS value FROM supplier, (VALUES ('run','ready'),('none','notFound'),('','emptyName')) t(name, status)")
+def evaluation_plan(spark, d):
+    e = org.parse(_notes(spark, d))
+    names = _table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_file"), F.explode(F.array(F.lit("run"), F.lit("none"), F.lit(""))).alias("name"))
+    return plans.evaluation_plan(e, names).select(F.col("source_file").cast("long").alias("supplier"), "name", "status", "value")
+
+
+@_register("SELECT s_suppkey AS supplier, '#+RESULTS: run' || chr(10) || ': new ' || s_suppkey || chr(10) AS text, length('#+RESULTS: run'||chr(10)||': old'||chr(10))::BIGINT AS replaced FROM supplier")
+def result_patch(spark, d):
+    docs = _notes(spark, d)
+    results = docs.select("source_file", F.lit("run").alias("name"), F.concat(F.lit("new "), "source_file").alias("result"))
+    return plans.result_patch(org.parse(docs), results).select(F.col("source_file").cast("long").alias("supplier"), "text", (F.col("stop") - F.col("at")).alias("replaced"))
+
+
+@_register("SELECT s_suppkey AS supplier, 'data/202401/01T120000-'||s_suppkey AS folder FROM supplier")
+def attachment_folders(spark, d):
+    return plans.attachment_table(org.parse(_notes(spark, d))).select(F.col("source_file").cast("long").alias("supplier"), "folder")
+
+
+@_register("SELECT s_suppkey AS supplier, n FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey::VARCHAR) AS i FROM supplier), (VALUES (1)) t(n) WHERE i<=12")
+def search_packet(spark, d):
+    packet = plans.search_packet(org.parse(_notes(spark, d)).where("kind = 'src-block'"), "SELECT")
+    return packet.select(F.col("source_file").cast("long").alias("supplier"), F.get_json_object("json", "$.n").cast("int").alias("n"))
+
+
+@_register("SELECT s_suppkey AS supplier, 'headline' AS kind, 1 AS blocks FROM supplier")
+def elements_json(spark, d):
+    rows = plans.elements_json(org.parse(_notes(spark, d)).where("kind in ('headline', 'src-block')"))
+    return rows.select(F.col("source_file").cast("long").alias("supplier"), F.get_json_object("json", "$.elements[0].kind").alias("kind"), F.size(F.from_json(F.get_json_object("json", "$.sourceBlocks"), "array<long>")).alias("blocks"))
+
+
+@_register(OUTLINE + "SELECT s.section_id AS request, CASE WHEN s.section_id%3=0 THEN 'notFound' ELSE 'resolved' END AS status, CASE WHEN s.section_id%3<>0 THEN s.section_id END AS section_id FROM sections s WHERE s.level=3")
+def refile_plan(spark, d):
+    s = outline.sections(spark, d).where("level <= 3")
+    requests = s.where("level = 3").select(F.col("section_id").alias("request"), F.when(F.col("section_id") % 3 == 0, F.array(F.lit("nowhere"))).otherwise(F.col("outline_path")).alias("path"))
+    return plans.refile_plan(s, requests).select("request", "status", "section_id")
+
+
+@_register("SELECT c_custkey AS request, CASE WHEN c_custkey%4=0 THEN 'emptyTitle' ELSE 'ready' END AS status, CASE WHEN c_custkey%4<>0 THEN '** TODO '||c_name||' :'||lower(c_mktsegment)||':'||chr(10)||'balance '||c_nationkey||chr(10) END AS entry FROM customer")
+def capture_plan(spark, d):
+    c = _table(spark, d, "customer")
+    rows = c.select(F.col("c_custkey").alias("request"), F.lit(2).alias("level"), F.lit("TODO").alias("todo"), F.when(F.col("c_custkey") % 4 == 0, " ").otherwise(F.col("c_name")).alias("title"), F.array(F.lower("c_mktsegment")).alias("tags"), F.concat(F.lit("balance "), "c_nationkey").alias("body"))
+    return plans.capture_plan(rows).select("request", "status", "entry")
+
+
+@_register("SELECT s_suppkey AS supplier, key, value FROM supplier, LATERAL (SELECT 'TODO' AS key, 'OPEN | SHUT' AS value) t")
+def keyword_scan(spark, d):
+    docs = _table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_file"), F.lit("#+todo: OPEN | SHUT\n# + no\n#+begin_src\n#+end_src\n").alias("text"))
+    return plans.prescan(docs).select(F.col("source_file").cast("long").alias("supplier"), "key", "value")
+
+
+@_register("SELECT o_orderkey, make_date(y::INT, month(o_orderdate)::INT, 15) AS day FROM orders, (VALUES (1995),(1996)) t(y) WHERE make_date(y::INT, month(o_orderdate)::INT, 15) BETWEEN DATE '1995-02-01' AND DATE '1996-06-30'")
+def diary_dates(spark, d):
+    sexp = F.concat(F.lit("%%(diary-date "), F.month("o_orderdate"), F.lit(" 15)"))
+    days = org_text.diary_dates(sexp, F.lit(dt.date(1995, 2, 1)), F.lit(dt.date(1996, 6, 30)))
+    return _table(spark, d, "orders").select("o_orderkey", F.explode(days).alias("day"))
+
+
+@_register("SELECT p_partkey, p_size||chr(8212)||p_brand||chr(8211)||chr(8230) AS special, 'a%20'||p_size||'%2F' AS encoded, 'a '||p_size||'/' AS decoded, chr(945) AS alpha, CASE WHEN p_size%2=0 THEN 'right' ELSE 'left' END AS side, p_size::VARCHAR AS title FROM part")
+def small_notations(spark, d):
+    part = _table(spark, d, "part")
+    raw = F.concat(F.lit("a "), "p_size", F.lit("/"))
+    side = F.get(org_text.alignments(F.array(F.lit(""), F.when(F.col("p_size") % 2 == 0, "<r5>").otherwise("<l>"))), 1)
+    plot = org_text.plot_options(F.concat(F.lit('ind:1 title:"'), "p_size", F.lit('" ind:2')))
+    return part.select(
+        "p_partkey", org_text.special_strings(F.concat(F.col("p_size").cast("string"), F.lit("---"), "p_brand", F.lit("--..."))).alias("special"), org_text.percent_encoded(raw).alias("encoded"), org_text.percent_decoded(org_text.percent_encoded(raw)).alias("decoded"),
+        org_text.entity(F.lit("alpha")).alias("alpha"), side.alias("side"), F.try_element_at(plot, F.lit("title")).alias("title"),
+    )
+
+
+@_register("SELECT o_orderkey, o_orderdate::DATE::TIMESTAMP AS first, (o_orderdate::DATE+1)::TIMESTAMP AS last FROM orders")
+def clock_bounds(spark, d):
+    stamp = F.concat(F.lit("<"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" Sun>"))
+    a, b = org_text.bounds(stamp, stamp)
+    return _table(spark, d, "orders").select("o_orderkey", a.cast("timestamp").alias("first"), b.cast("timestamp").alias("last"))
