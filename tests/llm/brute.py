@@ -157,3 +157,45 @@ def substring(rows, window=50):
                 gone |= set(range(s, s + window))
         out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
     return out
+
+
+def katz_of_order(rows, order, top=5):
+    """[(id, score)] of a Katz model of any order, and P(words): the probability of the last word after those before it ("<>" is the start)."""
+    tokens = [(i, [*space_words(t, lower=True), "</>"]) for i, t in rows]
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in rows]
+    past = lambda t, at, m: tuple(["<>", *t][max(0, at + 2 - m) : at + 1])
+    seen = {m: collections.defaultdict(collections.Counter) for m in range(1, order + 1)}
+    for (_, t), out in zip(tokens, held, strict=True):
+        if not out:
+            for at, w in enumerate(t):
+                for m in range(1, order + 1):
+                    seen[m][past(t, at, m) if m > 1 else ()][w] += 1
+    one = seen[1][()]
+    n = sum(one.values())
+
+    def discounted(counts):
+        c = [counts.get(r, 0) for r in range(1, top + 2)]
+        d = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
+        f = [(r - min(d, 0.9)) / r for r in range(1, top + 1)]
+        if all(c) and (cut := (top + 1) * c[top] / c[0]) < 1:
+            good = [((r + 1) * c[r] / c[r - 1] / r - cut) / (1 - cut) for r in range(1, top + 1)]
+            f = [g if 0 < g < 1 else x for g, x in zip(good, f, strict=True)]
+        return lambda r: r if r > top else r * f[r - 1]
+
+    d = {m: discounted(collections.Counter(x for h in seen[m].values() for x in h.values())) for m in seen}
+    rest = 1 - sum(map(d[1], one.values())) / n
+
+    def p(m, h, w):
+        if m == 1:
+            return d[1](one[w]) / n if one.get(w) else rest
+        below = lambda v: p(m - 1, h[1:] if len(h) == m - 1 else h, v) if m > 2 else p(1, (), v)
+        f = seen[m].get(h)
+        if not f:
+            return below(w)
+        total, freed = sum(f.values()), sum(x - d[m](x) for x in f.values())
+        if w in f:
+            return d[m](f[w]) / total * (1 if freed > 0 else total / (total + 1))
+        return (freed / total if freed > 0 else 1 / (total + 1)) / (1 - sum(map(below, f))) * below(w)
+
+    of = lambda words: p(order, tuple(words[:-1]), words[-1])
+    return [(i, sum(math.log10(p(order, past(t, at, order), w)) for at, w in enumerate(t))) for i, t in tokens], of, one
