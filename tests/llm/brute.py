@@ -199,3 +199,107 @@ def katz_of_order(rows, order, top=5):
 
     of = lambda words: p(order, tuple(words[:-1]), words[-1])
     return [(i, sum(math.log10(p(order, past(t, at, order), w)) for at, w in enumerate(t))) for i, t in tokens], of, one
+
+
+CLASS_MARKS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\x0c\r", ".,;:!?-", "\"'()[]{}", "#*$%&|<>@=+_~^`/\\")
+LENGTHS = sorted({int(8 * 256 ** (i / 32)) for i in range(33)})
+
+
+def _divergence(p, q):
+    """Jensen-Shannon divergence in bits of two lists of counts."""
+    a, b = sum(p), sum(q)
+    if not a or not b:
+        return 0.0
+    out = 0.0
+    for x, y in zip(p, q, strict=True):
+        x, y = x / a, y / b
+        out += sum(z * math.log2(2 * z / (x + y)) for z in (x, y) if z) / 2
+    return max(out, 0.0)
+
+
+def _chance(q, n):
+    """Mean and standard deviation of the divergence of n words drawn from shares q, bin by bin."""
+    mean = var = 0.0
+    for s in q:
+        if 0 < s < 1:
+            first = second = 0.0
+            for x in range(n + 1):
+                chance = math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(s) + (n - x) * math.log1p(-s))
+                p = x / n
+                bits = ((p * math.log2(2 * p / (p + s)) if p else 0) + s * math.log2(2 * s / (p + s))) / 2
+                first, second = first + chance * bits, second + chance * bits * bits
+            mean, var = mean + first, var + max(second - first * first, 0)
+    return mean, math.sqrt(var)
+
+
+def quality_verdicts(rows, common, least_words=50, class_limit=0.3, word_limit=0.6, deviations=3):
+    """[(id, kept)] of rows (id, text, lang)."""
+    base = {n: r for n, r in enumerate(quality([(i, t) for i, t, _ in rows]))}
+    kinds, words = [], []
+    for _, text, lang in rows:
+        text = text or ""
+        kind = [sum(text.count(c) for c in marks) for marks in CLASS_MARKS]
+        wide = sum(ord(c) > 0x7F for c in text)
+        kinds.append([*kind, len(text) - wide - sum(kind), wide])
+        own = {w: j for j, w in enumerate(common.get(lang, []))}
+        found = [0] * 31
+        for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOWER)):
+            found[own.get(w, 30)] += 1
+        words.append(found)
+    total = collections.defaultdict(lambda: ([0] * 9, [0] * 31))
+    for (_, _, lang), k, w in zip(rows, kinds, words, strict=True):
+        old = total[lang]
+        total[lang] = ([a + b for a, b in zip(old[0], k, strict=True)], [a + b for a, b in zip(old[1], w, strict=True)])
+    bounds = {}
+
+    def bound(lang, n):
+        """By straight lines between some lengths on a logarithmic scale; beyond the last, chance falls with the length."""
+        q = total[lang][1]
+        q = [x / max(sum(q), 1) for x in q]
+        reach = _divergence([0] * 30 + [1], q)
+        top = LENGTHS[-1]
+        at = min(max(n, LENGTHS[0]), top)
+        hi = next(x for x in LENGTHS if x >= at)
+        lo = max([x for x in LENGTHS if x <= at])
+        for x in (lo, hi):
+            if (lang, x) not in bounds:
+                bounds[lang, x] = _chance(q, x)
+        share = (math.log(at) - math.log(lo)) / (math.log(hi) - math.log(lo)) if hi > lo else 0
+        mean, spread = (a + (b - a) * share for a, b in zip(bounds[lang, lo], bounds[lang, hi], strict=True))
+        beyond = max(n / top, 1)
+        return math.sqrt(mean / beyond + max(word_limit**2 * reach, deviations * spread / beyond))
+
+    out = []
+    for n, (i, _, lang) in enumerate(rows):
+        count, failed = base[n][1], base[n][-1]
+        odd = count >= least_words and (math.sqrt(_divergence(kinds[n], total[lang][0])) > class_limit or math.sqrt(_divergence(words[n], total[lang][1])) > bound(lang, max(sum(words[n]), 1)))
+        out.append((i, not failed and not odd))
+    return out
+
+
+def shards(rows, shards, slots):
+    """[(id, size, shard)]: slots by xxhash64 of id, crc32 and size, dealt in turn, then moved one by one from the fullest shard to the emptiest while that levels them."""
+    import xxhash
+
+    placed, load = [], collections.Counter()
+    for i, text in rows:
+        body = (text or "").encode()
+        h = 42
+        for v in (i, zlib.crc32(body), len(body) + 8):
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed=h)
+        slot = (h - (1 << 64) if h >> 63 else h) % slots
+        placed.append((i, len(body) + 8, slot))
+        load[slot] += len(body) + 8
+    owner = {s: s % shards for s in range(slots)}
+    while True:
+        total = [sum(load[s] for s in load if owner[s] == x) for x in range(shards)]
+        full, empty = total.index(max(total)), total.index(min(total))
+        lead = total[full] - total[empty]
+        choice = [(abs(load[s] - lead / 2), load[s], s) for s in load if owner[s] == full and load[s] < lead]
+        if not choice:
+            return [(i, size, owner[s]) for i, size, s in placed]
+        nearest = min(c[:2] for c in choice)
+        # Of equal ones the last slot of the larger size below half, the first of the size above, as a sorted list gives them.
+        same = [s for a, b, s in choice if (a, b) == nearest]
+        owner[max(same) if nearest[1] < lead / 2 else min(same)] = empty

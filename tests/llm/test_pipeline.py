@@ -4,13 +4,13 @@ import corpus_pipeline
 import public_tokenizers
 from tests.llm import brute
 from sheaf.llm.bpe import Encoder
-from sheaf.llm.quality import quality
+from sheaf.llm.quality import COMMON
 
 
 def test_run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
-    kept = {r["doc_id"] for r in quality(docs).where("kept").collect()}
+    kept = {i for i, k in brute.quality_verdicts([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()], COMMON) if k}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in kept]
     found = brute.near_dups(rows, k=5)
     rows = [(i, t) for i, t in rows if found[i][1] == i]
