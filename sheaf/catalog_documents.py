@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sheaf.catalog import OUTLINE, _parsed, _register, _table
 from sheaf.functions import org_text
-from sheaf.operators import agenda_views, columns, lint, lint_progress, lint_sdd, plans, records
+from sheaf.operators import agenda_views, columns, contracts, lint, lint_progress, lint_sdd, plans, records, traverse
+from sheaf.plans import elements as eq
 from sheaf.plans import outline
 from sheaf.sources import org
 
@@ -349,3 +350,51 @@ def clock_bounds(spark, d):
     stamp = F.concat(F.lit("<"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" Sun>"))
     a, b = org_text.bounds(stamp, stamp)
     return _table(spark, d, "orders").select("o_orderkey", a.cast("timestamp").alias("first"), b.cast("timestamp").alias("last"))
+
+
+@_register("SELECT c_custkey AS customer, 'ORG044' AS code FROM customer")
+def contract_findings(spark, d):
+    """Each customer's document has one source block below its tasks where the contract wants two."""
+    top = contracts.Step("top", eq.Query(kind="headline", depth=1), expect=("==", 1))
+    blocks = contracts.Step("blocks", eq.Query(kind="src-block"), within=("descendant-of", "top"), expect=(">", 1))
+    found = contracts.contract_findings(contracts.evaluate(_parsed(spark, d), contracts.Contract("c", [top, blocks])))
+    return found.select(F.col("source_file").cast("long").alias("customer"), "code")
+
+
+@_register("SELECT c_custkey AS customer, t.event, t.n FROM customer, (VALUES ('enter',3),('leave',3)) t(event, n)")
+def tree_events(spark, d):
+    """Headlines entered and left; nothing below the second one is gone into."""
+    heads = _parsed(spark, d).where("kind in ('org-data', 'headline')")
+    walk = traverse.events(heads)
+    return walk.where("kind = 'headline'").groupBy(F.col("source_file").cast("long").alias("customer"), "event").agg(F.count("*").cast("int").alias("n"))
+
+
+@_register("SELECT c_custkey AS customer, 3 AS headlines FROM customer")
+def tree_fold(spark, d):
+    e = _parsed(spark, d)
+    total = traverse.folded(e, (F.col("kind") == "headline").cast("int"))
+    return total.join(e.where("kind = 'org-data'"), ["source_file", "id"], "left_semi").select(F.col("source_file").cast("long").alias("customer"), F.col("value").cast("int").alias("headlines"))
+
+
+@_register("SELECT s_suppkey AS supplier, CASE WHEN s_suppkey%2=0 THEN 'new' ELSE 'old' END AS title FROM supplier")
+def reparsed_documents(spark, d):
+    docs = _table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_file"), F.lit("* old\nbody é\n").alias("text"))
+    edits = docs.where(F.col("source_file").cast("long") % 2 == 0).select("source_file", F.lit(2).cast("long").alias("start"), F.lit(5).cast("long").alias("stop"), F.lit("new").alias("text"))
+    rows = traverse.reparsed(org.parse(docs), docs, edits).where("kind = 'headline'")
+    return rows.select(F.col("source_file").cast("long").alias("supplier"), F.try_element_at("properties", F.lit("title")).alias("title"))
+
+
+@_register("SELECT s_suppkey AS supplier, 'customer-' || s_suppkey AS slug, DATE '2024-05-06' AS day, 75 AS minutes FROM supplier")
+def sql_functions(spark, d):
+    traverse.register(spark)
+    _table(spark, d, "supplier").createOrReplaceTempView("sheaf_suppliers")
+    return spark.sql("SELECT s_suppkey AS supplier, org_slug('Customer# ' || s_suppkey || '!') AS slug, org_date('<2024-05-06 Mon 10:00>') AS day, CAST(org_minutes('1:15') AS INT) AS minutes FROM sheaf_suppliers WHERE org_has_tag('Work:Home', 'home')")
+
+
+@_register("SELECT s_suppkey AS supplier, 1 AS tasks, 2 AS headlines, 'x^2' AS raised FROM supplier")
+def inline_tasks(spark, d):
+    """A task within the text, which is no headline, and a raised two."""
+    docs = _table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_file"), F.lit("* a\nx^2 y\n*************** TODO within\nbody\n*************** END\n** b\n").alias("text"))
+    e = org.parse(docs)
+    raised = F.max(F.when(F.col("kind") == "superscript", F.concat(F.lit("x"), "source_raw")))
+    return e.groupBy(F.col("source_file").cast("long").alias("supplier")).agg(F.count_if(F.col("kind") == "inlinetask").cast("int").alias("tasks"), F.count_if(F.col("kind") == "headline").cast("int").alias("headlines"), raised.alias("raised"))

@@ -76,3 +76,21 @@ def evaluate(elements: DataFrame, contract: Contract) -> DataFrame:
 def union_of(elements: DataFrame, alternatives: list[Query]) -> DataFrame:
     """Elements of any of some queries, each once; limits hold for each alternative."""
     return reduce(DataFrame.union, (run(elements, q).select("source_file", "id") for q in alternatives)).distinct()
+
+
+def contract_findings(evaluated: DataFrame) -> DataFrame:
+    """ORG044: assertions that don't hold, as findings of their documents."""
+    message = F.concat_ws(" ", F.lit("contract"), "contract", F.lit("fails at"), "assertion", F.lit("with"), "count")
+    return evaluated.where("not ok").select(F.lit("ORG044").alias("code"), F.lit("warning").alias("severity"), "source_file", F.lit(1).cast("long").alias("line"), F.lit(0).cast("long").alias("range_start"), message.alias("message"))
+
+
+def in_scope(source_file: Column, folder: str) -> Column:
+    """Whether a path lies under a folder; ``~`` and variables are not expanded."""
+    base = folder.rstrip("/")
+    return (source_file == base) | F.startswith(source_file, F.lit(base + "/")) if base else F.lit(True)
+
+
+def surface(spark) -> DataFrame:
+    """(head, meaning): the heads of the element query language."""
+    heads = [("category", "category of an element"), ("kind", "kind of an element"), ("name", "its NAME line"), ("context", "kind of its parent"), ("property", "a property equal to a value"), ("contains", "a property that holds a text"), ("outline", "headlines above it"), ("and", "all of some queries"), ("or", "any of some queries"), ("not", "none of some queries"), ("limit", "the first rows by document and order")]
+    return spark.createDataFrame(heads, "head string, meaning string")

@@ -32,11 +32,14 @@ OBJECT = re.compile(
     |(?P<macro>\{{\{{\{{[A-Za-z][\w-]*(?:\([^}}]*\))?\}}\}}\}})|(?P<cite>\[cite(?:/[\w/-]+)?:[^\]]+\])|(?P<fn>\[fn:[\w-]*(?::[^\]]*)?\])|(?P<cookie>\[\d*/\d*\]|\[\d*%\])|(?P<snippet>@@[\w-]+:.*?@@)
     |(?P<src>\bsrc_\w+(?:\[[^\]]*\])?\{{[^}}\n]*\}})|(?P<call>\bcall_[^\s(\[]+(?:\[[^\]]*\])?\([^)\n]*\)(?:\[[^\]]*\])?)|(?P<angle><[A-Za-z][\w+.-]*:[^<>\n]+>)|(?P<plain>\b(?:https?|ftp|mailto|file|id|doi):[^\s<>()\[\]]+[^\s<>()\[\].,;:!?])
     |(?P<frag>\\\(.*?\\\)|\\\[.*?\\\]|\$\$.+?\$\$)|(?P<break>\\\\[ \t]*$)|(?P<entity>\\[A-Za-z]+(?:\{{\}})?)
+    |(?<=[^\s^_])(?P<super>\^(?:\{{[^{{}}\n]*\}}|[+-]?\w+))|(?<=[^\s^_])(?P<sub>_\{{[^{{}}\n]*\}}|(?<![A-Za-z0-9]\w)_\d+\b)
     |(?<![\w])(?P<mark>(?P<m>[*/_+=~])(?=\S)(?P<inner>(?:(?!(?P=m)).)*?\S|\S)(?P=m))(?![\w])""",
     re.X | re.M,
 )
+#: Stars from which on a headline is a task within the text.
+INLINE_TASK = "*" * 15
 MARKS = {"*": "bold", "/": "italic", "_": "underline", "+": "strike-through", "=": "verbatim", "~": "code"}
-NAMES = {"radio": "radio-target", "target": "target", "stamp": "timestamp", "macro": "macro", "cite": "citation", "fn": "footnote-reference", "cookie": "statistics-cookie", "snippet": "export-snippet", "src": "inline-src-block", "call": "inline-babel-call", "angle": "link", "plain": "link", "frag": "latex-fragment", "break": "line-break", "entity": "entity"}
+NAMES = {"radio": "radio-target", "target": "target", "stamp": "timestamp", "macro": "macro", "cite": "citation", "fn": "footnote-reference", "cookie": "statistics-cookie", "snippet": "export-snippet", "src": "inline-src-block", "call": "inline-babel-call", "angle": "link", "plain": "link", "super": "superscript", "sub": "subscript", "frag": "latex-fragment", "break": "line-break", "entity": "entity"}
 #: Blocks whose body holds text only.
 VERBATIM_BLOCKS = {"src": "src-block", "example": "example-block", "export": "export-block", "comment": "comment-block"}
 OTHER_BLOCKS = {"quote": "quote-block", "center": "center-block", "verse": "verse-block"}
@@ -118,7 +121,7 @@ class Parser:
 
     def parse(self) -> list[Row]:
         n = len(self.lines)
-        heads = [i for i in range(n) if self.lines[i].startswith("*") and HEADLINE.match(self.lines[i])]
+        heads = [i for i in range(n) if self.lines[i].startswith("*") and not self.lines[i].startswith(INLINE_TASK) and HEADLINE.match(self.lines[i])]
         root = self.add(None, "document", "org-data", 0, n)
         self.body(root, 0, heads[0] if heads else n)
         open_: list[Row] = [root]
@@ -211,8 +214,27 @@ class Parser:
             i += 1
         return i
 
+    def inline_task(self, parent: Row, i: int, end: int) -> int:
+        """A task within the text: a headline of 15 stars or more, with the lines down to its END if it has one; the outline goes on around it."""
+        level = len(self.lines[i]) - len(self.lines[i].lstrip("*"))
+        rest = self.lines[i][level:].strip()
+        props: dict[str, str] = {"LEVEL": str(level)}
+        word = rest.split(" ", 1)[0]
+        if word in self.todo or word in self.done:
+            props |= {"TODO": word, "todo-type": "todo" if word in self.todo else "done"}
+            rest = rest[len(word) :].lstrip()
+        stop = next((j for j in range(i + 1, end) if self.lines[j].startswith(INLINE_TASK)), None)
+        closed = stop is not None and self.lines[stop].lstrip("*").strip().upper() == "END"
+        row = self.add(parent, "element", "inlinetask", i, stop + 1 if closed else i + 1, props | {"title": rest})
+        self.objects(row, self.at[i] + self.lines[i].find(rest, level) if rest else self.at[i], rest)
+        if closed:
+            self.body(row, i + 1, stop)
+        return stop + 1 if closed else i + 1
+
     def element(self, parent: Row, i: int, end: int, line: str) -> int:
         strip = line.lstrip()
+        if line.startswith(INLINE_TASK) and HEADLINE.match(line):
+            return self.inline_task(parent, i, end)
         if m := BEGIN.match(line):
             name = (m[1] or ":").lower()
             stop = next((j for j in range(i + 1, end) if self.lines[j].strip().lower() in (f"#+end_{name}", "#+end:" if name == ":" else "")), None)
@@ -286,7 +308,7 @@ class Parser:
     def _starts(self, line: str) -> bool:
         """Whether a line ends the paragraph before it."""
         strip = line.lstrip()
-        return bool(BEGIN.match(line) or KEYWORD.match(line) or ITEM.match(line) or RULE.match(line) or strip.startswith("|") or DRAWER.match(line) or CLOCK.match(line) or FOOTNOTE.match(line) or strip == "#" or strip.startswith("# ") or strip.startswith(": "))
+        return bool(line.startswith(INLINE_TASK) or BEGIN.match(line) or KEYWORD.match(line) or ITEM.match(line) or RULE.match(line) or strip.startswith("|") or DRAWER.match(line) or CLOCK.match(line) or FOOTNOTE.match(line) or strip == "#" or strip.startswith("# ") or strip.startswith(": "))
 
     def block(self, parent: Row, i: int, stop: int, name: str, args: str) -> int:
         if name in VERBATIM_BLOCKS:
