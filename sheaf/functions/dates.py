@@ -32,10 +32,15 @@ def timestamp_key(c: Column) -> Column:
 def duration_seconds(c: Column) -> Column:
     """Seconds of a duration text: '' is 0, H:MM[:SS], a bare number of minutes, or numbers with units, H:MM at the end allowed; else null."""
     text = F.trim(c)
-    part = lambda unit: F.aggregate(F.regexp_extract_all(text, F.lit(rf"(\d+(?:\.\d+)?)\s*{unit}(?![a-z])"), F.lit(1)), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    units = F.lit(0.0)
-    for unit, seconds in UNITS.items():
-        units = units + part(unit) * F.lit(float(seconds))
+    found = lambda i: F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)\s*(min|[hdwmy])(?![a-z])"), F.lit(i))
+
+    def seconds_of(unit: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for name, seconds in UNITS.items():
+            out = F.when(unit == name, float(seconds)).otherwise(out)
+        return out
+
+    units = F.aggregate(F.zip_with(found(1), found(2), lambda n, unit: n.cast("double") * seconds_of(unit)), F.lit(0.0), lambda a, x: a + x)
     clock = F.regexp_extract(text, r"(\d+):([0-5]?\d)(?::([0-5]?\d))?$", 0)
     field = lambda i: F.coalesce(F.regexp_extract(clock, r"(\d+):(\d+)(?::(\d+))?", i).try_cast("double"), F.lit(0.0))
     at_end = F.when(clock != "", field(1) * 3600 + field(2) * 60 + field(3)).otherwise(F.lit(0.0))

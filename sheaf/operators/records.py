@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.dates import duration_seconds, timestamp_key
 from sheaf.functions.text import link_kind
 
-#: Column summaries with a meaning here; others are reported as unsupported.
+#: Column summaries with a meaning (``columns.summaries``); others are reported as unsupported.
 SUPPORTED = ("+", "$", "min", "max", "mean", "X", "X/", "X%", ":", ":min", ":max", ":mean", "est+")
 SPECIAL = ("ITEM", "TODO", "PRIORITY", "TAGS", "ALLTAGS", "LEVEL", "CLOSED", "SCHEDULED", "DEADLINE")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.dates import hours_minutes
+from sheaf.operators.stored import settled
 
 
 def is_done(sections: DataFrame) -> Column:
@@ -70,15 +71,17 @@ SUMMARIES: dict[str, Column] = {"+": F.sum, "min": F.min, "max": F.max, "mean":
 def column_summary(sections: DataFrame, cell: Column, op: str, deepest: int) -> DataFrame:
     """A column view's summary, bottom up: a child's summary stands in place of its own cell, so a mean is a mean of means.
 
-    One aggregation for each level; ``deepest`` bounds the loop.
+    One aggregation for each level; ``deepest`` bounds the loop.  Each level is
+    stored, so that the plan of one doesn't hold those of all below it.
     """
     how = SUMMARIES[op]
-    rows = sections.select("section_id", "parent_id", "level", cell.alias("cell"))
+    rows = settled(sections.select("section_id", "parent_id", "level", cell.alias("cell")))
     below = rows.where(F.col("level") == deepest).select("section_id", "parent_id", "level", "cell", F.col("cell").alias("summary"))
     out = below
     for level in range(deepest - 1, 0, -1):
         got = below.where(F.col("summary").isNotNull()).groupBy("parent_id").agg(how("summary").alias("got")).withColumnRenamed("parent_id", "section_id")
         below = rows.where(F.col("level") == level).join(got, "section_id", "left").select("section_id", "parent_id", "level", "cell", F.coalesce("got", "cell").alias("summary"))
+        below = settled(below) if level > 1 else below
         out = out.union(below)
     return out
 
