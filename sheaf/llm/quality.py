@@ -234,16 +234,19 @@ def _rules(batches: Iterator[pa.RecordBatch], limits: tuple[int, float, float])
             )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = LEAST_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = LEAST_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, references: DataFrame | None = None) -> DataFrame:
     """One row for each row: id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     A null or empty text has no words and fails.  Rows of a null or rare language
-    are held against that language's own totals.  Null and repeated ids are rows
-    like others; other columns are left out; an empty table gives an empty one.
+    are held against that language's own totals.  ``references`` (lang, counts), as
+    ``language_references`` makes them of sound documents, stands in for the totals
+    of the table itself; a language that it lacks is judged by the base rules only.
+    Null and repeated ids are rows like others; other columns are left out; an
+    empty table gives an empty one.
     """
     ready(docs.sparkSession)
     source = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("text_hash", F.xxhash64("text"))
-    reference = language_references(source.select("text", "lang"))
+    reference = language_references(source.select("text", "lang")) if references is None else references
     # One row for each language; beyond a thousand the join is shuffled.
     reference = small(written(reference, "references"), 1000).withColumnRenamed("lang", "of")
     joined = source.join(reference, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")

@@ -1,7 +1,7 @@
 """Verdicts of quality rules and places of shards against plain versions; the pipeline's first stage with them."""
 
 import corpus_pipeline
-from sheaf.llm.quality import COMMON, quality
+from sheaf.llm.quality import COMMON, language_references, quality
 from sheaf.llm.sharding import shard_by_slots
 from tests.llm import brute
 
@@ -16,6 +16,16 @@ def test_quality_verdicts(spark, sf_dir):
     assert 0.2 < sum(k for _, k in want) / len(want) < 1 and {k for _, k in want} == {True, False}
 
 
+def test_given_references(spark, sf_dir):
+    """Sound documents as the reference: junk alone can't become its own norm."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    sound = language_references(docs.where("lang = 'en'").select("text", "lang"))
+    words = "the of and to in is that it for was".split()
+    junk = spark.createDataFrame([(1, " ".join(f"{'#$%&*|'[i % 6] * (3 + i % 4)}{i}{'<>' * (i % 3)}" for i in range(120)), "en"), (2, " ".join(f"{w}{i}" for i in range(12) for w in words), "xx")], docs.schema)
+    assert {r["doc_id"]: r["kept"] for r in quality(junk).collect()} == {1: True, 2: True}
+    assert {r["doc_id"]: r["kept"] for r in quality(junk, references=sound).collect()} == {1: False, 2: True}
+
+
 def test_quality_stage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = brute.quality_verdicts([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()], COMMON)
