@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sheaf.llm.native_words import let, letter_words
-from sheaf.llm.tables import integral, small
+from sheaf.llm.tables import fitted, integral, small
 
 K = 3
 #: Offsets that still count as the next diagonal, and the share of a notice's grams that makes it a find.
@@ -97,7 +97,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.filter("spans", lambda s: s["phrase"])
     starts = F.transform(base, lambda s: s["start"].cast("long"))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda s: s["label"]))), ",")
-    return out.select(
+    # One small row for each document: few files, as each file written starts a process.
+    result = out.select(
         F.col("id").alias(id_col), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         joined(base).alias("base_labels"), joined("spans").alias("labels"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"), "spans",
     )
+    return fitted(result, docs.count(), 50_000)
