@@ -29,7 +29,7 @@ from sheaf.llm.words import Lanes, lean, pieces, raw
 #: Fragments that a worker remembers before it starts afresh.
 POOL = 1_000_000
 #: Bytes of fragments for one call of the library.
-CALL_BYTES = 1 << 16
+CALL_BYTES = 1 << 12
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x09, 0x0A, 0x0D, 0x20]] = True
 #: Bytes after which nothing is cut: any that some pattern may take for white space.
@@ -45,6 +45,22 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Growing:
+    """An array that rows are added to; ``rows`` is what it holds."""
+
+    def __init__(self, kind: type):
+        self.store, self.rows = np.empty(0, kind), np.empty(0, kind)
+
+    def add(self, more: np.ndarray) -> None:
+        n = len(self.rows) + len(more)
+        if n > len(self.store):
+            store = np.empty(max(n, 2 * len(self.store)), self.store.dtype)
+            store[: len(self.rows)] = self.rows
+            self.store = store
+        self.store[n - len(more) : n] = more
+        self.rows = self.store[:n]
+
+
 class Encoder:
     """``tokenizers`` file -> vectorised encoding of many texts.  ``special``: strings of added tokens are those tokens."""
 
@@ -83,11 +99,41 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        #: Sorted hashes of known fragments and the number of each; by number its bytes, whether it is an added token, and its ids.
-        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.body, self.body_at, self.body_size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.marked = np.empty(0, bool)
-        self.pool, self.at, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        #: Of each known fragment, by number: its hash, its bytes as lanes, whether it is an added token, and its ids.
+        self.key, self.lane, self.lane_at, self.bytes = Growing(np.uint64), Growing(np.uint64), Growing(np.int64), Growing(np.int64)
+        self.marked, self.pool, self.at, self.size = Growing(bool), Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+        #: Numbers at the places their hashes lead to; a taken place sends on to the next.
+        self.table = np.full(1 << 16, -1, np.int32)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - len(self.table).bit_length() + 1)).astype(np.int64)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for unknown ones."""
+        known, place = self.key.rows, self._place(key)
+        out = self.table[place]
+        on = np.flatnonzero(out >= 0)
+        on = on[known[out[on]] != key[on]]
+        while len(on):
+            place[on] = (place[on] + 1) & (len(self.table) - 1)
+            out[on] = self.table[place[on]]
+            on = on[out[on] >= 0]
+            on = on[known[out[on]] != key[on]]
+        return out
+
+    def _enter(self, first: int) -> None:
+        """Enters the fragments from number ``first`` on; the table stays at most a quarter full."""
+        key = self.key.rows
+        if 4 * len(key) > len(self.table):
+            self.table = np.full(1 << (4 * len(key)).bit_length(), -1, np.int32)
+            first = 0
+        todo = np.arange(first, len(key))
+        place = self._place(key[todo])
+        while len(todo):
+            free = self.table[place] < 0
+            self.table[place[free]] = todo[free]
+            on = self.table[place] != todo
+            todo, place = todo[on], (place[on] + 1) & (len(self.table) - 1)
 
     def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First bytes of all fragments, and those of added tokens among them."""
@@ -116,7 +162,7 @@ class Encoder:
                     p = text.find(word, p + len(word))
         return np.flatnonzero(cut), np.array(sorted(added), np.int64)
 
-    def _learn(self, keys: np.ndarray, data: np.ndarray, a: np.ndarray, n: np.ndarray, fixed: np.ndarray) -> None:
+    def _learn(self, data: np.ndarray, a: np.ndarray, n: np.ndarray, fixed: np.ndarray) -> None:
         """Encodes new fragments: those that end visibly many in one text, the few others one by one; ``fixed``: the id of an added token, else -1.
 
         A fragment that begins visibly is put behind a line break, which is a
@@ -132,8 +178,8 @@ class Encoder:
         ends = np.cumsum(size)
         at = np.empty(len(a), np.int64)
         count = np.empty(len(a), np.int64)
-        parts = [self.pool]
-        base = len(self.pool)
+        parts = []
+        base = len(self.pool.rows)
         if len(many):
             text = np.full(int(ends[-1]), 0x0A, np.uint8)
             fill = np.repeat(ends - n[many], n[many]) + (within := np.arange(int(n[many].sum())) - np.repeat(np.cumsum(n[many]) - n[many], n[many]))
@@ -154,14 +200,9 @@ class Encoder:
             parts.append(np.array(ids, np.uint32))
             at[i], count[i] = base, len(ids)
             base += len(ids)
-        self.pool = np.concatenate(parts)
-        spot = np.searchsorted(self.known, keys)
-        self.known, self.number = np.insert(self.known, spot, keys), np.insert(self.number, spot, len(self.at) + np.arange(len(a)))
-        ends = np.cumsum(n)
-        whole = data[np.repeat(a - ends + n, n) + np.arange(int(ends[-1]))]
-        self.body_at = np.append(self.body_at, len(self.body) + ends - n)
-        self.body, self.body_size, self.marked = np.append(self.body, whole), np.append(self.body_size, n), np.append(self.marked, fixed >= 0)
-        self.at, self.size = np.append(self.at, at), np.append(self.size, count)
+        self.pool.add(np.concatenate(parts))
+        self.at.add(at)
+        self.size.add(count)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n + 1 offsets into them."""
@@ -172,7 +213,7 @@ class Encoder:
         fixed = np.full(len(start), -1)
         for x in added.tolist():
             fixed[np.searchsorted(start, x)] = next(i for t, i in self.added.items() if data[x : x + len(t)].tobytes() == t)
-        if len(self.known) > POOL:
+        if len(self.key.rows) > POOL:
             self._forget()
         number = np.empty(len(start), np.int64)
         todo, seed = np.arange(len(start)), 0
@@ -181,21 +222,22 @@ class Encoder:
             a, n, mark = start[todo], length[todo], fixed[todo] >= 0
             lanes = Lanes(data, a, n)
             key = self._keys(lanes, mark, seed)
-            found, first, which = np.unique(key, return_index=True, return_inverse=True)
-            good = lanes.same(lanes, first[which]) & (mark == mark[first[which]])
-            spot = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
-            old = self.known[spot] == found if len(self.known) else np.zeros(len(found), bool)
-            was, now = self.number[spot[old]], first[old]
-            agree = Lanes(data, a[now], n[now]).same(Lanes(self.body, self.body_at[was], self.body_size[was]), np.arange(len(was))) & (mark[now] == self.marked[was])
-            of = np.full(len(found), -1)
-            of[np.flatnonzero(old)[agree]] = was[agree]
-            new = np.flatnonzero(~old)
+            of = self._find(key).astype(np.int64)
+            new = np.flatnonzero(of < 0)
             if len(new):
-                of[new] = len(self.at) + np.arange(len(new))
-                own = todo[first[new]]
-                self._learn(found[new], data, start[own], length[own], fixed[own])
-            good &= of[which] >= 0
-            number[todo[good]] = of[which[good]]
+                found, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+                own, base = new[first], len(self.key.rows)
+                of[new] = base + which
+                self.key.add(found)
+                taken = lanes.taken(own)
+                self.lane_at.add(len(self.lane.rows) + taken.first)
+                self.lane.add(taken.value)
+                self.bytes.add(n[own])
+                self.marked.add(mark[own])
+                self._learn(data, a[own], n[own], fixed[todo[own]])
+                self._enter(base)
+            good = lanes.same(Lanes.of(self.lane.rows, self.lane_at.rows, self.bytes.rows), of) & (mark == self.marked.rows[of])
+            number[todo[good]] = of[good]
             todo, seed = todo[~good], seed + 1
         return self._joined(number, np.searchsorted(start, offsets))
 
@@ -205,9 +247,9 @@ class Encoder:
 
     def _joined(self, number: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known fragments one after the other, and the places of some fragments in them."""
-        size = self.size[number]
+        size = self.size.rows[number]
         ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.at[number] - ends + size, size) + np.arange(int(ends[-1]))]
+        ids = self.pool.rows[np.repeat(self.at.rows[number] - ends + size, size) + np.arange(int(ends[-1]))]
         return ids, np.append(0, ends)[cuts]
 
     def encode_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -67,6 +67,20 @@ class Lanes:
         value &= _FILLED[np.minimum(np.repeat(length, self.many) - inside, 8)]
         self.value = value
 
+    @classmethod
+    def of(cls, value: np.ndarray, first: np.ndarray, length: np.ndarray) -> Lanes:
+        """Lanes made before: those of a range lie from ``first`` on.  To be compared with, not to be hashed."""
+        lanes = cls.__new__(cls)
+        lanes.value, lanes.first, lanes.length = value, first, length
+        return lanes
+
+    def taken(self, some: np.ndarray) -> Lanes:
+        """Copies of some ranges."""
+        many = self.many[some]
+        ends = np.cumsum(many)
+        at = np.repeat(self.first[some] - ends + many, many) + np.arange(int(ends[-1]))
+        return Lanes.of(self.value[at], ends - many, self.length[some])
+
     def hash(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each range.  Each lane is mixed with its place before the sum, so no pattern of bytes cancels out."""
         value = mix(self.value ^ mix(self.place.astype(_U), 77 + seed))
