@@ -614,7 +614,7 @@ def section_index(spark, d):
 
 
 def _all() -> None:
-    from sheaf import catalog_documents  # noqa: F401  registers its queries
+    from sheaf import catalog_documents, catalog_grammar  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text
 from sheaf.functions.dates import duration_seconds
-from sheaf.operators import export_graph, lint_blocks, lint_progress, lint_sdd, records
+from sheaf.operators import export_graph, lint_blocks, lint_progress, lint_sdd, records, schemas
 from sheaf.operators.stored import settled
 
 #: Keys of which a drawer may have several.
@@ -248,24 +248,30 @@ def missing_refiles(e: DataFrame, files: DataFrame) -> DataFrame:
     return _finding(_wanting(rows, e, files), "ORG019", "warning", F.concat(F.lit("refile destination not found: "), "file", F.lit("::"), "heading"))
 
 
+def broken_schemas(e: DataFrame, known: list[schemas.Schema] = ()) -> DataFrame:
+    """ORG040: a drawer that names a schema which is not known or which it does not keep."""
+    return _finding(schemas.findings(e, list(known)), "ORG040", "warning", F.concat_ws(" ", "finding", "property"))
+
+
 RULES = {
     "ORG002": duplicate_targets, "ORG004": missing_macros, "ORG005": malformed_links, "ORG006": duplicate_links, "ORG007": bad_options, "ORG008": duplicate_macros, "ORG009": duplicate_todo_keywords,
     "ORG010": bad_priorities, "ORG011": bad_efforts, "ORG012": duplicate_properties, "ORG013": property_typos, "ORG014": malformed_logbook, "ORG015": empty_archives, "ORG020": duplicate_blocks,
-    "ORG029": blocked_tasks, "ORG030": disallowed_values, "ORG038": opaque_bodies, "ORG039": keys_without_tag, **lint_blocks.RULES, **lint_progress.RULES, **lint_sdd.RULES,
+    "ORG029": blocked_tasks, "ORG030": disallowed_values, "ORG038": opaque_bodies, "ORG039": keys_without_tag, "ORG040": broken_schemas, **lint_blocks.RULES, **lint_progress.RULES, **lint_sdd.RULES,
 }
 #: Rules that ask whether files are there.
 FILE_RULES = {"ORG003": missing_includes, "ORG016": missing_attachments, "ORG017": missing_files, "ORG018": missing_archives, "ORG019": missing_refiles}
 
 
-def findings(elements: DataFrame, codes: list[str] | None = None, files: DataFrame | None = None) -> DataFrame:
-    """All findings of some rules; those on files need ``files`` (path).  Sort by source_file, range_start, code, message to print them.
+def findings(elements: DataFrame, codes: list[str] | None = None, files: DataFrame | None = None, known_schemas: list[schemas.Schema] = ()) -> DataFrame:
+    """All findings of some rules; those on files need ``files`` (path), and property schemas are looked up in ``known_schemas``.  Sort by source_file, range_start, code, message to print them.
 
     The elements are stored first: every rule reads them.
     """
     known = RULES | (FILE_RULES if files is not None else {})
     wanted = codes or list(known)
     rows = elements if len(wanted) == 1 else settled(elements)
-    return reduce(DataFrame.unionByName, (known[c](rows, files) if c in FILE_RULES else known[c](rows) for c in wanted))
+    more = {"ORG040": known_schemas} | dict.fromkeys(FILE_RULES, files)
+    return reduce(DataFrame.unionByName, (known[c](rows, more[c]) if c in more else known[c](rows) for c in wanted))
 
 
 def rendered(found: DataFrame, form: str = "text") -> DataFrame:
