@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.catalog import _register, _table
@@ -82,7 +82,8 @@ def _notebook(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "supplier").select(F.concat(F.lit("notes/"), k, F.lit(".org")).alias("source_file"), text.alias("text"))
 
 
-_SUPPLIER = F.regexp_extract("source_file", r"(\d+)\.org$", 1).cast("long").alias("supplier")
+def _supplier(path: str = "source_file") -> Column:
+    return F.regexp_extract(path, r"(\d+)\.org$", 1).cast("long").alias("supplier")
 
 
 @_register("""SELECT s_suppkey AS supplier, asked FROM supplier, (VALUES ('name'),('context'),('at'),('summary'),('lines')) t(asked)
@@ -94,17 +95,17 @@ def query_leaves(spark, d):
         "name": eq.Query(name="run"), "context": eq.Query(kind="link", context="paragraph"), "at": eq.Query(relations=[("at", [1])]), "summary": eq.Query(kind="src-block", property_contains=[("value", "7")]),
         "lines": contract_language.from_lines("# one block\nkind=src-block\nsummary.value=select 7\nproperty_contains.language=sq\nlimit=2"),
     }
-    return reduce(DataFrame.union, (eq.run(e, q).select(_SUPPLIER, F.lit(name).alias("asked")) for name, q in asked.items()))
+    return reduce(DataFrame.union, (eq.run(e, q).select(_supplier(), F.lit(name).alias("asked")) for name, q in asked.items()))
 
 
 @_register("SELECT s_suppkey AS supplier, name, resolved FROM supplier, (VALUES ('run', true), ('gone', false)) t(name, resolved)")
 def block_references(spark, d):
-    return records.source_references(org.parse(_notebook(spark, d))).select(_SUPPLIER, "name", "resolved")
+    return records.source_references(org.parse(_notebook(spark, d))).select(_supplier(), "name", "resolved")
 
 
 @_register("SELECT s_suppkey AS supplier, 'https://h.example/'||s_suppkey||'/x' AS path FROM supplier")
 def link_abbreviations(spark, d):
-    return records.links(org.parse(_notebook(spark, d))).select(_SUPPLIER, "path")
+    return records.links(org.parse(_notebook(spark, d))).select(_supplier(), "path")
 
 
 @_register("SELECT s_suppkey AS supplier, 'src-block' AS kind, 'run' AS name, 'Block '||s_suppkey AS outline FROM supplier")
@@ -112,10 +113,7 @@ def index_rows(spark, d):
     """The JSON of the flat index, read again."""
     rows = packets.index_json(org.parse(_notebook(spark, d)).where("kind = 'src-block'"))
     part = lambda path: F.get_json_object("json", path)
-    return rows.select(_SUPPLIER, part("$.kind").alias("kind"), part("$.affiliated_name").alias("name"), part("$.outline_path[0]").alias("outline"))
-
-
-_PATH = F.regexp_extract("path", r"(\d+)\.org$", 1).cast("long").alias("supplier")
+    return rows.select(_supplier(), part("$.kind").alias("kind"), part("$.affiliated_name").alias("name"), part("$.outline_path[0]").alias("outline"))
 
 
 @_register("""SELECT s_suppkey AS supplier, asked FROM supplier, (VALUES ('task'),('owner'),('toc')) t(asked)
@@ -126,7 +124,7 @@ def project_search(spark, d):
     tasks = search.query(facts, terms=["REST"], kinds=["task"])
     owned = search.query(facts, kinds=["heading"], fields=["owner=nation 1"])
     toc = search.contents(facts.where("kind = 'heading'"), ["rest", "Block 1"]).where(F.startswith("text", F.lit("Block")))
-    return reduce(DataFrame.union, (x.select(_PATH, F.lit(name).alias("asked")) for name, x in (("task", tasks), ("owner", owned), ("toc", toc))))
+    return reduce(DataFrame.union, (x.select(_supplier("path"), F.lit(name).alias("asked")) for name, x in (("task", tasks), ("owner", owned), ("toc", toc))))
 
 
 @_register("SELECT s_suppkey AS supplier, 2::BIGINT AS parsed FROM supplier WHERE contains(s_suppkey||'/'||s_nationkey, '7')")
@@ -139,7 +137,7 @@ def prefiltered_scan(spark, d):
 
 @_register("SELECT s_suppkey AS supplier, '#+NAME: run'||chr(10)||'#+begin_src sql :tangle out.sql' AS content FROM supplier")
 def line_slices(spark, d):
-    return search.line_selection(_notebook(spark, d), 3, 4).select(_SUPPLIER, "content")
+    return search.line_selection(_notebook(spark, d), 3, 4).select(_supplier(), "content")
 
 
 @_register("SELECT s_suppkey AS supplier, 'Plan '||s_suppkey AS title, s_nationkey::VARCHAR AS nation FROM supplier WHERE s_suppkey%2=0")
@@ -148,7 +146,7 @@ def plan_ledgers(spark, d):
     k = F.col("s_suppkey").cast("string")
     name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "a/agent-plan-").otherwise("a/other-"), k, F.lit(".org"))
     docs = _table(spark, d, "supplier").select(name.alias("source_file"), F.concat(F.lit("* Plan "), k, F.lit("\n:PROPERTIES:\n:NATION: "), F.col("s_nationkey").cast("string"), F.lit("\n:END:\n* x\n")).alias("text"))
-    return search.plan_ledger(docs).select(_SUPPLIER, "title", F.try_element_at("properties", F.lit("NATION")).alias("nation"))
+    return search.plan_ledger(docs).select(_supplier(), "title", F.try_element_at("properties", F.lit("NATION")).alias("nation"))
 
 
 @_register("SELECT * FROM (VALUES ('both','src-block'),('left','headline'),('left','babel-call')) t(part, kind)")
@@ -164,7 +162,7 @@ def markdown_selectors(spark, d):
     text = "---\ntitle: a\n---\n# One\n\nsee [x](http://a.example)\n\nTwo\n===\n\n- [x] done\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```sql\n# no heading\n```\n\n***\n"
     docs = _table(spark, d, "supplier").select(F.concat(F.lit("notes/"), F.col("s_suppkey").cast("string"), F.lit(".org")).alias("source_file"), F.lit(text).alias("text"))
     rows = markdown.parse(docs).where("kind in ('heading', 'block', 'checklistItem', 'link', 'table', 'thematicBreak', 'frontMatter')")
-    return rows.select(_PATH, "kind", F.substring_index("structural_selector", "#", -1).alias("selector"))
+    return rows.select(_supplier("path"), "kind", F.substring_index("structural_selector", "#", -1).alias("selector"))
 
 
 # Property schemas.
@@ -236,14 +234,14 @@ _FILE = "CASE WHEN s_suppkey%3=0 THEN 'own.html' ELSE 'notes/'||s_suppkey||'.htm
 
 @_register(f"SELECT s_suppkey AS supplier, {_FILE} AS output_file, CASE WHEN s_suppkey%2=0 THEN s_name END AS title FROM supplier")
 def publishing_documents(spark, d):
-    return publishing.documents(_pages(spark, d)).select(_SUPPLIER, "output_file", "title")
+    return publishing.documents(_pages(spark, d)).select(_supplier(), "output_file", "title")
 
 
 @_register("SELECT s_suppkey AS supplier, kind, target FROM supplier, (VALUES ('projectRoot','notes'),('include','part.org'),('setupFile','set.org'),('bibliography','x.bib'),('macro','hi')) t(kind, target)")
 def publishing_dependencies(spark, d):
-    return publishing.dependencies(_pages(spark, d), PROJECT).select(_SUPPLIER, "kind", "target")
+    return publishing.dependencies(_pages(spark, d), PROJECT).select(_supplier(), "kind", "target")
 
 
 @_register(f"SELECT 'public/sitemap.org' AS sitemap, s_suppkey AS supplier, {_FILE} AS output_file, CASE WHEN s_suppkey%2=0 THEN s_name ELSE 'notes/'||s_suppkey||'.org' END AS title FROM supplier")
 def publishing_sitemap(spark, d):
-    return publishing.sitemap(_pages(spark, d), PROJECT).select("sitemap", _SUPPLIER, "output_file", "title")
+    return publishing.sitemap(_pages(spark, d), PROJECT).select("sitemap", _supplier(), "output_file", "title")
