@@ -8,13 +8,14 @@ collected; an assertion is one count for each document.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.plans.elements import Query, run
+from sheaf.operators.stored import kept
+from sheaf.plans.elements import Query, condition, run
 
 OPERATORS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
@@ -56,14 +57,26 @@ def _bound(elements: DataFrame, step: Step, known: dict[str, DataFrame]) -> Data
     raise ValueError(f"no relation {relation!r}")
 
 
+def _candidates(elements: DataFrame, steps: list[Step]) -> tuple[DataFrame, list[Step]]:
+    """(source_file, own): each document with the ids of its elements that any query may select, stored, since every step reads them and the elements may be costly; and the steps as queries on those."""
+    flags = [F.coalesce(condition(s.query), F.lit(False)).alias(f"_step{i}") for i, s in enumerate(steps)]
+    above = [k for s in steps for kind, ids in s.query.relations if kind == "ancestor-of" for k in ids]
+    wanted = reduce(lambda a, b: a | b, [*flags, *([F.col("id").isin(above)] if above else [])])
+    own = F.struct(*(c for c in ("id", "parent_id", "ancestor_ids") if c in elements.columns), *flags)
+    out = kept(elements.groupBy("source_file").agg(F.collect_list(F.when(wanted, own)).alias("own")))
+    return out, [replace(s, query=Query(predicate=lambda i=i: F.col(f"_step{i}"), relations=s.query.relations, limit=s.query.limit)) for i, s in enumerate(steps)]
+
+
 def evaluate(elements: DataFrame, contract: Contract) -> DataFrame:
     """(contract, assertion, source_file, count, ok) for each assertion and document in scope."""
     if contract.scope is not None:
         elements = elements.where(contract.scope)
-    documents = elements.select("source_file").distinct()
+    elements, steps = _candidates(elements, contract.steps)
+    documents = elements.select("source_file")
+    elements = elements.select("source_file", F.inline("own"))
     known: dict[str, DataFrame] = {}
     out = []
-    for step in contract.steps:
+    for step in steps:
         known[step.name] = rows = _bound(elements, step, known)
         if step.expect:
             op, bound = step.expect

@@ -59,6 +59,17 @@ def test_contracts(spark):
     assert contracts.union_of(e, [Query(kind="headline"), Query(category="section")]).count() == 3
 
 
+def test_contracts_read_elements_once(spark):
+    """What is evaluated comes from a stored table: no step parses the documents again, and limits and relations hold on it."""
+    e = org.parse(spark.createDataFrame([("a.org", BAD), ("b.org", "* B\ntext"), ("c.org", None)], "source_file string, text string"))
+    top = contracts.Step("top", Query(kind="headline", limit=1), expect=("==", 1))
+    src = contracts.Step("src", Query(kind="src-block"), within=("descendant-of", "top"), expect=("==", 0))
+    above = contracts.Step("above", Query(kind="headline", relations=[("ancestor-of", [r["id"] for r in e.where("kind = 'src-block'").collect()])]), expect=(">=", 1))
+    found = contracts.evaluate(e, contracts.Contract("c", [top, src, above]))
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert {(r["assertion"], r["source_file"]): r["count"] for r in found.collect()} == {("top", "a.org"): 1, ("top", "b.org"): 1, ("top", "c.org"): 0, ("src", "a.org"): 0, ("src", "b.org"): 0, ("src", "c.org"): 0, ("above", "a.org"): 1, ("above", "b.org"): 0, ("above", "c.org"): 0}
+
+
 def test_packets(spark):
     e = org.parse(spark.createDataFrame([("a.org", BAD)], "source_file string, text string"))
     assert packets.tangle_plan(e).first()["content"] == "one\n\ntwo"

@@ -2,6 +2,7 @@
 
 import hypothesis.strategies as st
 from hypothesis import given, settings
+from pyspark.sql import functions as F
 
 from sheaf.sources import org
 from sheaf.sources.parser import records
@@ -102,3 +103,10 @@ def test_folders(spark, tmp_path):
     assert sorted(r["source_file"].rsplit("/", 1)[1] for r in docs.collect()) == ["a.org", "b.org"]
     assert org.read_folder(spark, str(tmp_path), hidden=(".git",)).count() == 3
     assert org.prefilter(docs, ["head TERM"]).count() == 2 and org.prefilter(docs, ["absent"]).count() == 0
+
+
+def test_some_kinds(spark):
+    docs = spark.createDataFrame([("a", TEXT), ("b", None)], "source_file string, text string")
+    rows = lambda df: sorted(df.select("source_file", "id", "ancestor_ids", F.to_json("properties"), "range_start", "source_raw").collect())
+    some = rows(org.parse(docs, ("headline", "org-data")))
+    assert some and some == rows(org.parse(docs).where("kind in ('headline', 'org-data')"))
