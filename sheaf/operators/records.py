@@ -170,13 +170,15 @@ def attachment_gaps(attachments: DataFrame, files: DataFrame) -> DataFrame:
 def export_kept(rows: DataFrame, exclude: tuple[str, ...] = ("noexport",), select: tuple[str, ...] = ()) -> DataFrame:
     """Sections that an export keeps: no COMMENT, archived or excluded one or anything below it; if any section of a document has a select tag, those that have one and all above them."""
     low = lambda c: F.transform(c, lambda t: F.lower(t))
-    bad = rows.where(F.col("is_comment") | F.col("archived") | F.arrays_overlap(low("tags"), F.array(*map(F.lit, exclude)))).select("source_file", F.col("section_id").alias("_bad"))
-    scope = rows.select("source_file", "section_id", F.explode(F.concat("ancestor_ids", F.array("section_id"))).alias("_bad"))
-    gone = scope.join(bad, ["source_file", "_bad"], "left_semi").select("source_file", "section_id").distinct()
-    kept = rows.join(gone, ["source_file", "section_id"], "left_anti")
+    document = Window.partitionBy("source_file")
+    so_far = lambda order: document.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # Sections nest, so one is below another if it begins after the other's begin and before its end: running extremes find that in one pass over a document.
+    bad = F.col("is_comment") | F.col("archived") | F.arrays_overlap(low("tags"), F.array(*map(F.lit, exclude)))
+    gone_until = F.max(F.when(bad, F.col("range_end"))).over(so_far("range_start"))
+    kept = rows.withColumn("_gone", F.coalesce(gone_until > F.col("range_start"), F.lit(False))).where("not _gone").drop("_gone")
     if not select:
         return kept
-    chosen = kept.where(F.arrays_overlap(low("effective_tags"), F.array(*map(F.lit, select))))
-    documents = chosen.select("source_file").distinct()
-    wanted = chosen.select("source_file", F.explode(F.concat("ancestor_ids", F.array("section_id"))).alias("section_id")).distinct()
-    return kept.join(wanted, ["source_file", "section_id"], "left_semi").union(kept.join(documents, "source_file", "left_anti"))
+    chosen = F.arrays_overlap(low("effective_tags"), F.array(*map(F.lit, select)))
+    following = F.min(F.when(chosen, F.col("range_start"))).over(so_far(F.desc("range_start")))
+    kept = kept.withColumns({"_holds": F.coalesce(following < F.col("range_end"), F.lit(False)), "_any": F.max(F.when(chosen, True)).over(document)})
+    return kept.where("_holds or _any is null").drop("_holds", "_any")

@@ -1,6 +1,8 @@
 """What keeps the queries on parsed documents within bounds: even tasks, one parse, plans of bounded size."""
 
 from sheaf import catalog
+from sheaf.operators import records
+from sheaf.sources import org
 
 
 def plan(df) -> str:
@@ -11,3 +13,16 @@ def test_customers_are_dealt_out(spark, sf_dir):
     """One small file of customers is parsed by all cores, and only the kinds asked for leave the parser."""
     assert catalog._customers(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert {r["kind"] for r in catalog._parsed(spark, sf_dir, "org-data", "src-block").select("kind").distinct().collect()} == {"org-data", "src-block"}
+
+
+def test_export_reads_sections_once(spark):
+    """Kept sections come from one pass; nested, repeated and selected ones as by their ancestors."""
+    text = "* a :noexport:\n** b :pick:\n* c\n** d :pick:\n*** e\n** f\n* COMMENT g\n*** h :pick:\n* i :ARCHIVE:\n* j"
+    docs = spark.createDataFrame([("1", text), ("2", "* k\n** l :noexport:\n** m"), ("3", "* COMMENT n :pick:")], "source_file string, text string")
+    rows = records.sections(org.parse(docs))
+    kept = records.export_kept(rows)
+    assert plan(kept).count("MapInArrow") == 1
+    assert sorted(r["title"] for r in kept.collect()) == ["c", "d", "e", "f", "j", "k", "m"]
+    picked = records.export_kept(rows, select=("pick",))
+    assert plan(picked).count("MapInArrow") == 1 and picked.columns == rows.columns
+    assert sorted(r["title"] for r in picked.collect()) == ["c", "d", "e", "k", "m"]
