@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.dates import duration_seconds, timestamp_key
 from sheaf.functions.text import link_kind
+from sheaf.operators.stored import kept
 
 #: Column summaries with a meaning (``columns.summaries``); others are reported as unsupported.
 SUPPORTED = ("+", "$", "min", "max", "mean", "X", "X/", "X%", ":", ":min", ":max", ":mean", "est+")
@@ -96,7 +97,8 @@ def memory_cards(elements: DataFrame) -> DataFrame:
     state = F.when(F.col("archived"), "archived").when(F.col("todo_type") == "done", "closed").when(current, "current").otherwise("background")
     cards = rows.withColumn("state", state)
     keys = F.array_distinct(F.transform(F.array_compact(F.array("title", F.try_element_at("properties", F.lit("ID")), F.try_element_at("properties", F.lit("CUSTOM_ID")))), lambda k: F.lower(k)))
-    cards = cards.withColumn("_keys", keys)
+    # Stored: the cards are read three times, and their documents should not be parsed as often.
+    cards = kept(cards.withColumn("_keys", keys))
     now = cards.where("state = 'current'").select(F.explode("_keys").alias("_key")).distinct()
     old = cards.where(F.col("state").isin("archived", "closed")).select("source_file", "section_id", F.explode("_keys").alias("_key")).join(now, "_key", "left_semi").select("source_file", "section_id").distinct().withColumn("superseded", F.lit(True))
     return cards.join(old, ["source_file", "section_id"], "left").withColumn("superseded", F.coalesce("superseded", F.lit(False))).drop("_keys")
@@ -175,10 +177,10 @@ def export_kept(rows: DataFrame, exclude: tuple[str, ...] = ("noexport",), selec
     # Sections nest, so one is below another if it begins after the other's begin and before its end: running extremes find that in one pass over a document.
     bad = F.col("is_comment") | F.col("archived") | F.arrays_overlap(low("tags"), F.array(*map(F.lit, exclude)))
     gone_until = F.max(F.when(bad, F.col("range_end"))).over(so_far("range_start"))
-    kept = rows.withColumn("_gone", F.coalesce(gone_until > F.col("range_start"), F.lit(False))).where("not _gone").drop("_gone")
+    left = rows.withColumn("_gone", F.coalesce(gone_until > F.col("range_start"), F.lit(False))).where("not _gone").drop("_gone")
     if not select:
-        return kept
+        return left
     chosen = F.arrays_overlap(low("effective_tags"), F.array(*map(F.lit, select)))
     following = F.min(F.when(chosen, F.col("range_start"))).over(so_far(F.desc("range_start")))
-    kept = kept.withColumns({"_holds": F.coalesce(following < F.col("range_end"), F.lit(False)), "_any": F.max(F.when(chosen, True)).over(document)})
-    return kept.where("_holds or _any is null").drop("_holds", "_any")
+    left = left.withColumns({"_holds": F.coalesce(following < F.col("range_end"), F.lit(False)), "_any": F.max(F.when(chosen, True)).over(document)})
+    return left.where("_holds or _any is null").drop("_holds", "_any")

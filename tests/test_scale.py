@@ -26,3 +26,11 @@ def test_export_reads_sections_once(spark):
     picked = records.export_kept(rows, select=("pick",))
     assert plan(picked).count("MapInArrow") == 1 and picked.columns == rows.columns
     assert sorted(r["title"] for r in picked.collect()) == ["c", "d", "e", "k", "m"]
+
+
+def test_memory_cards_are_stored(spark):
+    """No later step of the cards parses documents again."""
+    docs = spark.createDataFrame([("1", "* DONE Plan\n* DONE Other"), ("2", "* TODO plan")], "source_file string, text string")
+    cards = records.memory_cards(org.parse(docs))
+    assert "MapInArrow" not in plan(cards)
+    assert sorted((r["title"], r["state"], r["superseded"]) for r in cards.collect()) == [("Other", "closed", False), ("Plan", "closed", True), ("plan", "current", False)]
