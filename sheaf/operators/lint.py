@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from sheaf.functions import text
 from sheaf.functions.dates import duration_seconds
 from sheaf.operators import export_graph, lint_blocks, lint_progress, lint_sdd, records, schemas
-from sheaf.operators.stored import settled
+from sheaf.operators.stored import kept
 
 #: Keys of which a drawer may have several.
 REPEATABLE = ("CONTRACT_ORG",)
 #: Keys taken for EFFORT, and answers to an option.
 EFFORT_TYPOS = ("EFORT", "EFFORTS", "EFFORTT")
 YES_OR_NO = ("t", "true", "yes", "nil", "false", "no")
+#: What the rules read: elements of these kinds, and all that have a name; of the source, that of drawers, tables and encrypted sections.
+KINDS = ("org-data", "headline", "keyword", "property-drawer", "node-property", "drawer", "plain-list", "item", "table", "src-block", "babel-call", "inline-babel-call", "macro", "link", "target", "radio-target")
+COLUMNS = ("source_file", "id", "parent_id", "ancestor_ids", "kind", "affiliated_name", "properties", "line", "range_start")
+#: Rules whose findings are made by one plan.
+BATCH = 8
 
 
 def _p(key: str) -> Column:
@@ -154,7 +159,9 @@ def blocked_tasks(e: DataFrame) -> DataFrame:
 
 def disallowed_values(e: DataFrame) -> DataFrame:
     """ORG030: a value outside the KEY_ALL list of its headline, of one above, or of the file; the nearest counts."""
-    own = e.where("kind = 'node-property'").where(F.trim(F.coalesce(_p("value"), F.lit(""))) != "")
+    lists = F.exists(F.map_keys("properties"), lambda k: F.endswith(k, F.lit("_ALL")))
+    listing = e.where(F.col("kind").isin("headline", "org-data")).where(lists).select("source_file").distinct()
+    own = e.where("kind = 'node-property'").where(F.trim(F.coalesce(_p("value"), F.lit(""))) != "").join(listing, "source_file", "left_semi")
     drawers = e.where("kind = 'property-drawer'").select("source_file", F.col("id").alias("parent_id"), F.col("parent_id").alias("section_id"))
     heads = e.where("kind = 'headline'").select("source_file", F.col("id").alias("section_id"), F.col("properties").alias("of"))
     files = e.where("kind = 'org-data'").select("source_file", F.col("properties").alias("of_file"))
@@ -262,16 +269,26 @@ RULES = {
 FILE_RULES = {"ORG003": missing_includes, "ORG016": missing_attachments, "ORG017": missing_files, "ORG018": missing_archives, "ORG019": missing_refiles}
 
 
+def _read_by_rules(e: DataFrame) -> DataFrame:
+    """What the rules read of the elements, stored in folders by kind."""
+    sealed = (F.col("kind") == "headline") & F.contains("source_raw", F.lit("-----BEGIN PGP MESSAGE-----"))
+    raw = F.when(F.col("kind").isin("drawer", "table") | sealed, F.col("source_raw")).otherwise("")
+    return kept(e.where(F.col("kind").isin(*KINDS) | F.col("affiliated_name").isNotNull()).select(*COLUMNS, raw.alias("source_raw")), "kind")
+
+
 def findings(elements: DataFrame, codes: list[str] | None = None, files: DataFrame | None = None, known_schemas: list[schemas.Schema] = ()) -> DataFrame:
     """All findings of some rules; those on files need ``files`` (path), and property schemas are looked up in ``known_schemas``.  Sort by source_file, range_start, code, message to print them.
 
-    The elements are stored first: every rule reads them.
+    The elements are stored first, by kind, since every rule reads some of them; so are the findings of each
+    few rules, as one plan of all of them outgrows the driver.
     """
     known = RULES | (FILE_RULES if files is not None else {})
     wanted = codes or list(known)
-    rows = elements if len(wanted) == 1 else settled(elements)
+    rows = elements if len(wanted) == 1 else _read_by_rules(elements)
     more = {"ORG040": known_schemas} | dict.fromkeys(FILE_RULES, files)
-    return reduce(DataFrame.unionByName, (known[c](rows, more[c]) if c in more else known[c](rows) for c in wanted))
+    found = [known[c](rows, more[c]) if c in more else known[c](rows) for c in wanted]
+    parts = [reduce(DataFrame.unionByName, found[i : i + BATCH]) for i in range(0, len(found), BATCH)]
+    return reduce(DataFrame.unionByName, map(kept, parts)) if len(parts) > 1 else parts[0]
 
 
 def rendered(found: DataFrame, form: str = "text") -> DataFrame:

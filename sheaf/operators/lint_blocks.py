@@ -30,7 +30,7 @@ def _blocks(e: DataFrame) -> DataFrame:
 
 def missing_references(e: DataFrame) -> DataFrame:
     """ORG021: a call, a noweb reference or a variable that names no block of its document."""
-    lines = e.select("source_file", "range_start", "line").dropDuplicates(["source_file", "range_start"])
+    lines = e.where(F.col("kind").isin("babel-call", "inline-babel-call", "src-block")).select("source_file", "range_start", "line").dropDuplicates(["source_file", "range_start"])
     calls = records.source_references(e).where("not resolved").select("source_file", "range_start", "name").join(lines, ["source_file", "range_start"])
     named = e.where("affiliated_name is not null").select("source_file", F.lower(F.trim("affiliated_name")).alias("name")).distinct()
     variables = _blocks(e).withColumn("name", F.explode(F.regexp_extract_all(_p("header:var"), F.lit(r"[\w-]+=([A-Za-z][\w-]*)(?=\s|$)"), F.lit(1)))).withColumn("name", F.lower("name"))

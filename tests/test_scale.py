@@ -1,7 +1,7 @@
 """What keeps the queries on parsed documents within bounds: even tasks, one parse, plans of bounded size."""
 
 from sheaf import catalog
-from sheaf.operators import records
+from sheaf.operators import lint, records
 from sheaf.sources import org
 
 
@@ -34,3 +34,14 @@ def test_memory_cards_are_stored(spark):
     cards = records.memory_cards(org.parse(docs))
     assert "MapInArrow" not in plan(cards)
     assert sorted((r["title"], r["state"], r["superseded"]) for r in cards.collect()) == [("Other", "closed", False), ("Plan", "closed", True), ("plan", "current", False)]
+
+
+def test_findings_are_stored_in_parts(spark):
+    """No plan holds all rules: what is returned reads stored findings, the same as of each rule alone."""
+    docs = spark.createDataFrame([("1", "* a\n:PROPERTIES:\n:C_ALL: red\n:C: blue\n:END:\n[[file:x]] {{{m}}}\n#+NAME: p\ntext\n#+begin_src sql :var v=p w=q\n<<q>>\n#+end_src\n"), ("2", "* k :crypt:\n-----BEGIN PGP MESSAGE-----\n* [#99] p [1/2]\n| 1 |\n#+TBLFM: $1=@9$9\n"), ("3", None)], "source_file string, text string")
+    e = org.parse(docs).cache()
+    files = spark.createDataFrame([("y",)], "path string")
+    found = lint.findings(e, files=files)
+    assert "Window" not in plan(found) and "Join" not in plan(found)
+    one = [r for f in [*lint.RULES, *lint.FILE_RULES] for r in lint.findings(e, [f], files).collect()]
+    assert sorted(found.collect()) == sorted(one) and {r["code"] for r in one} >= {"ORG004", "ORG017", "ORG021", "ORG026", "ORG030", "ORG038"}
