@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import text
 from sheaf.functions.dates import duration_seconds
 from sheaf.operators import export_graph, lint_blocks, lint_progress, lint_sdd, records, schemas
-from sheaf.operators.stored import kept
+from sheaf.operators.stored import kept, kept_union
 
 #: Keys of which a drawer may have several.
 REPEATABLE = ("CONTRACT_ORG",)
@@ -20,8 +18,6 @@ YES_OR_NO = ("t", "true", "yes", "nil", "false", "no")
 #: What the rules read: elements of these kinds, and all that have a name; of the source, that of drawers, tables and encrypted sections.
 KINDS = ("org-data", "headline", "keyword", "property-drawer", "node-property", "drawer", "plain-list", "item", "table", "src-block", "babel-call", "inline-babel-call", "macro", "link", "target", "radio-target")
 COLUMNS = ("source_file", "id", "parent_id", "ancestor_ids", "kind", "affiliated_name", "properties", "line", "range_start")
-#: Rules whose findings are made by one plan.
-BATCH = 8
 
 
 def _p(key: str) -> Column:
@@ -280,15 +276,16 @@ def findings(elements: DataFrame, codes: list[str] | None = None, files: DataFra
     """All findings of some rules; those on files need ``files`` (path), and property schemas are looked up in ``known_schemas``.  Sort by source_file, range_start, code, message to print them.
 
     The elements are stored first, by kind, since every rule reads some of them; so are the findings of each
-    few rules, as one plan of all of them outgrows the driver.
+    rule before the next is planned, as a driver's memory grows with the plan of several, which Spark makes anew after every stage.
     """
     known = RULES | (FILE_RULES if files is not None else {})
     wanted = codes or list(known)
-    rows = elements if len(wanted) == 1 else _read_by_rules(elements)
     more = {"ORG040": known_schemas} | dict.fromkeys(FILE_RULES, files)
-    found = [known[c](rows, more[c]) if c in more else known[c](rows) for c in wanted]
-    parts = [reduce(DataFrame.unionByName, found[i : i + BATCH]) for i in range(0, len(found), BATCH)]
-    return reduce(DataFrame.unionByName, map(kept, parts)) if len(parts) > 1 else parts[0]
+    of = lambda code, rows: known[code](rows, more[code]) if code in more else known[code](rows)
+    if len(wanted) == 1:
+        return of(wanted[0], elements)
+    rows = _read_by_rules(elements)
+    return kept_union(elements.sparkSession, (of(code, rows) for code in wanted))
 
 
 def rendered(found: DataFrame, form: str = "text") -> DataFrame:
